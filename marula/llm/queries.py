@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marula.llm import components, cooccurrence, format_copies
+from marula.llm import components, cooccurrence, format_copies, leaks, lookalikes, reading_level
 from marula.operators import segmentation as S
 from marula.session import checkpoint, table
 
@@ -41,5 +41,66 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.frequent_pairs(_baskets(spark, folder), min_rows=8, min_share=0.002, min_lift=4)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _disguised(spark, folder).select("row_id", "field_name")
+
+
+def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The affected values beside their consistent form, and what was found in them."""
+    return _disguised(spark, folder).withColumn("kinds", F.array_join("kinds", ","))
+
+
+def _disguised(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.disguised_values(table(spark, folder, "raw_publications"), "row_id", ["title", "affiliations"])
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "eval_items")
+    return leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "passage", min_words=12)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Each affected document without its leaked spans; null where they cover more than half of it."""
+    found = _leaks(spark, folder)
+    return found.groupBy("doc_id").agg(
+        F.count("*").alias("n_items"), F.max("longest").alias("longest"), F.max("n_words").alias("n_words"), F.max("clean_text").alias("clean_text")
+    )
+
+
+LEVELS = ("plain", "general", "advanced", "specialist")
+
+
+def _levels(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    model = reading_level.fit(table(spark, folder, "graded_samples"), "sample_text", "reading_level", LEVELS)
+    return reading_level.estimate(docs, "doc_id", "text", model)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where(F.col("lang") == "en")
+    return _levels(spark, folder, docs).select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """How many English documents of each source have which level, and their mean grade."""
+    docs = table(spark, folder, "documents").where(F.col("lang") == "en")
+    found = _levels(spark, folder, docs).join(docs.select("doc_id", "source"), "doc_id")
+    return found.groupBy("source", "reading_level").agg(F.count("*").alias("n_docs"), F.avg("mean_grade").alias("mean_grade"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
+    "p5_found": p5_found,
+    "p5_forms": p5_forms,
+    "p8_found": p8_found,
+    "p8_clean": p8_clean,
+    "p10_found": p10_found,
+    "p10_profile": p10_profile,
+}
 SQL: dict[str, str] = {}
