@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marula.llm import components, cooccurrence, format_copies, leaks, lookalikes, reading_level
+from marula.llm import canonical_terms, components, cooccurrence, format_copies, leaks, lookalikes, reading_level
 from marula.operators import segmentation as S
 from marula.session import checkpoint, table
 
@@ -54,6 +54,21 @@ def _disguised(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.disguised_values(table(spark, folder, "raw_publications"), "row_id", ["title", "affiliations"])
 
 
+def _mapped(spark: SparkSession, folder: str) -> DataFrame:
+    rows, listed = table(spark, folder, "keyword_entries"), table(spark, folder, "thesaurus")
+    return canonical_terms.map_terms(rows, "entry_id", "typed_term", listed, "source_term", "preferred_term")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mapped(spark, folder).select("entry_id", "preferred_term")
+
+
+def p7_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed values that no entry of the list fits, and how often each was typed."""
+    found = _mapped(spark, folder).where(F.col("preferred_term") == canonical_terms.UNMATCHED)
+    return found.groupBy("typed_term").agg(F.count("*").alias("n_rows"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "eval_items")
     return leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "passage", min_words=12)
@@ -98,6 +113,8 @@ QUERIES = {
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p7_found": p7_found,
+    "p7_unmatched": p7_unmatched,
     "p8_found": p8_found,
     "p8_clean": p8_clean,
     "p10_found": p10_found,
