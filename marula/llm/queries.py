@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marula.llm import canonical_terms, components, cooccurrence, format_copies, leaks, lookalikes, reading_level
+from marula.llm import canonical_terms, components, cooccurrence, format_copies, leaks, lookalikes, mixing, reading_level
 from marula.operators import segmentation as S
 from marula.session import checkpoint, table
 
@@ -86,6 +86,17 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The selected documents with their source, uses and tokens, and the share that their source reaches."""
+    selection, shares = mixing.select_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return selection.join(F.broadcast(shares.select("source", "target_share", "reached_share")), "source")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.select_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 LEVELS = ("plain", "general", "advanced", "specialist")
 
 
@@ -117,6 +128,8 @@ QUERIES = {
     "p7_unmatched": p7_unmatched,
     "p8_found": p8_found,
     "p8_clean": p8_clean,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_profile": p10_profile,
 }
