@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marula.llm import canonical_terms, components, cooccurrence, format_copies, leaks, lookalikes, mixing, reading_level
+from marula.llm import canonical_terms, components, cooccurrence, format_copies, leaks, lookalikes, mixing, names, reading_level
 from marula.operators import segmentation as S
 from marula.session import checkpoint, table
 
@@ -19,6 +19,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("vertex").alias("row_id"), F.col("seed").alias("group_id"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_records(table(spark, folder, "raw_publications"), table(spark, folder, "manual_overrides"))
+
+
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "raw_publications")
     packings = {"author_keywords": S.KEYWORDS, "affiliations": S.AFFILIATIONS}
@@ -120,6 +124,7 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
