@@ -63,9 +63,15 @@ def token_counter(ranks: bytes):
     size = _Sizes(tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})).__getitem__
     slow = regex.compile(SPLIT).findall
     fast = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-    other = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("No", "Nl"))
-    uneven = re.compile(rf"[\x1c-\x1f{re.escape(other)}]").search
-    return lambda text: sum(map(size, (slow if uneven(text) else fast)(text)))
+    # numerals that aren't digits, and separators: the two splits differ on these only
+    even = {c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("No", "Nl")}.isdisjoint
+    separators = re.compile(r"[\x1c-\x1f]").search
+
+    def count(text: str) -> int:
+        plain = (text.isascii() or even(text)) and not separators(text)
+        return sum(map(size, (fast if plain else slow)(text)))
+
+    return count
 
 
 def _counting(ranks: bytes):
