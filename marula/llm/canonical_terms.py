@@ -201,7 +201,7 @@ def map_terms(df: DataFrame, id_col: str, typed: str, listed: DataFrame, form: s
     """One row (id_col, typed, preferred_term, score) for each row of df; '(unmatched)' and null where no entry fits."""
     pairs = [(r.f if r.f is not None else r.t, r.t) for r in listed.where(F.col(preferred).isNotNull()).select(F.col(form).alias("f"), F.col(preferred).alias("t")).distinct().collect()]
     entries = Entries(sorted(pairs))
-    rows = df.select(F.col(id_col), F.col(typed), F.lower(F.col(typed)).alias("term"))
+    rows = df.select(F.col(id_col).alias("_id"), F.col(typed).alias("_typed"), F.lower(F.col(typed)).alias("term"))
     terms = rows.where("term is not null").groupBy("term").agg(F.count("*").alias("n_rows")).withColumn("w", plain_words(F.col("term")))
     terms = terms.withColumn("n_words", F.size("w")).where((F.col("n_words") > 0) & (F.col("n_words") <= 2 * entries.longest))
     single = F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("size"), x.alias("token")))
@@ -224,4 +224,4 @@ def map_terms(df: DataFrame, id_col: str, typed: str, listed: DataFrame, form: s
     bags = spots.join(repaired, "token").groupBy("term", "n_words").agg(F.collect_list(F.struct("pos", "size", "word", "sim")).alias("m"))
     ranked = bags.mapInArrow(_ranking(entries), "term string, preferred_term string, score double")
     out = rows.join(ranked, "term", "left")
-    return out.select(F.col(id_col), F.col(typed), F.coalesce("preferred_term", F.lit(UNMATCHED)).alias("preferred_term"), "score")
+    return out.select(F.col("_id").alias(id_col), F.col("_typed").alias(typed), F.coalesce("preferred_term", F.lit(UNMATCHED)).alias("preferred_term"), "score")

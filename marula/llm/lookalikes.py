@@ -133,7 +133,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def disguised_values(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
     """Rows (id_col, field_name, value, consistent_value, kinds) of all values that hold a disguise."""
-    cells = field_cells(df.withColumnRenamed(id_col, "_id"), "_id", fields)
+    cells = field_cells(df.select(F.col(id_col).alias("_id"), *fields), "_id", fields)
     cells = cells.where(F.col("cell").rlike(SUSPICIOUS))
     out = cells.mapInArrow(_check, f"_id {dict(df.dtypes)[id_col]}, field_name string, value string, consistent_value string, kinds array<string>")
     return out.withColumnRenamed("_id", id_col)
