@@ -96,8 +96,9 @@ def clean(query: str) -> tuple[str, Counter]:
             token, rule = _clean_phrase(token)
             if rule:
                 counts[rule] += 1
-            tokens += _token.findall(token) if rule == "E" else [token]
-            continue
+            if rule != "A":
+                tokens += _token.findall(token) if rule == "E" else [token]
+                continue
         if token[0] == "*" and len(token) > 1 and token[1].isalpha():
             token = token.lstrip("*")
             counts["D"] += 1

@@ -82,6 +82,10 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+#: Titles of more words are found by equal parts instead of left-out words.
+LONG = 40
+
+
 def _deleted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of each title's word set with up to two words left out."""
     from xxhash import xxh64_intdigest
@@ -91,10 +95,16 @@ def _deleted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for words in b.column("words").to_pylist():
             n = len(words)
             own = {xxh64_intdigest(" ".join(words))}
-            if n > 2:
+            if 2 < n <= LONG + 4:
                 own |= {xxh64_intdigest(" ".join(words[:i] + words[i + 1 :])) for i in range(n)}
-            if n > 4:
+            if 4 < n <= LONG + 4:
                 own |= {xxh64_intdigest(" ".join(words[:i] + words[i + 1 : j] + words[j + 1 :])) for i in range(n) for j in range(i + 1, n)}
+            if n > LONG:
+                # four words that differ can't touch all of five parts, so one part is equal
+                parts: list[list[str]] = [[] for _ in range(5)]
+                for w in words:
+                    parts[xxh64_intdigest(w) % 5].append(w)
+                own |= {xxh64_intdigest(f"{k} " + " ".join(x)) for k, x in enumerate(parts)}
             keys.append([k - (1 << 63) for k in own])
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int64()))], [*b.schema.names, "keys"])
 

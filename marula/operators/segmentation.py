@@ -16,6 +16,7 @@ in several passes, each with one block of it.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -98,8 +99,6 @@ def best_cover(spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
     Weighted interval scheduling; of equal covers, the one that ends first.
     """
-    import bisect
-
     order = sorted(spans, key=lambda s: (s[1], s[0]))
     ends = [s[1] for s in order]
     best = [0]
@@ -159,7 +158,7 @@ def splitter(p: Packing, entries: Iterable[str] = ()) -> Callable[[str], list[st
         masked = []
         if '"' in cell:
             masked = [m.span(1) for m in quoted_re.finditer(cell)]
-        free = (lambda i: not any(a <= i < b for a, b in masked)) if masked else (lambda i: True)
+        free = (lambda i: masked[max(bisect.bisect_right(masked, (i, len(cell))) - 1, 0)][1] <= i or i < masked[0][0]) if masked else (lambda i: True)
         cuts = [m.span() for m in strong_re.finditer(cell) if free(m.start())]
         kind = "strong"
         if not cuts:
@@ -207,13 +206,14 @@ def split_cells(cells: DataFrame, packings: dict[str, Packing], min_rows: int =
     """cells with the column items, an array of the single values of each cell in order.
 
     cells: columns field_name and cell, and any others, which are kept (cell is
-    replaced by items). A null or blank cell has no items. Items lose outer blanks
+    replaced by items, and columns of the names items or spans give way). A null or blank cell has no items. Items lose outer blanks
     and enclosing quotes; doubled quotes inside become single.
     """
+    cells = cells.drop("items", "spans")
     learned = checkpoint(learn_entries(cells, packings, min_rows) if dictionary is None else dictionary)
     n = learned.count()
     blocks = max(1, -(-n // BLOCK))
-    keep = [f for f in cells.schema.fields if f.name != "cell"]
+    keep = [f for f in cells.schema.fields if f.name not in ("cell", "items", "spans")]
     schema = T.StructType([*keep, T.StructField("items", T.ArrayType(T.StringType()))])
     if blocks == 1:
         entries: dict[str, list[str]] = {}

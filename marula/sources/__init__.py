@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Sources and sinks: see files."""

@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Structured streaming: see windows."""
