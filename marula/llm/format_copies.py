@@ -48,10 +48,12 @@ def canonical(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
 
     Only keys with separate accents leave the JVM, to be composed there.
     """
-    keyed = df.select(F.col(id_col).cast("bigint").alias("_id"), word_bag(*(F.col(c) for c in columns)).alias("_key"))
-    keyed = keyed.where((F.col("_key") != "") & F.col("_id").isNotNull())
-    marked = F.col("_key").rlike(r"\p{M}")
-    return keyed.where(~marked).unionByName(keyed.where(marked).mapInArrow(_composed, keyed.schema))
+    rows = df.select(F.col(id_col).cast("bigint").alias("_id"), F.concat_ws(" ", *(F.col(c) for c in columns)).alias("_text"))
+    rows = rows.where(F.col("_id").isNotNull() & F.col("_text").rlike(r"[\p{L}\p{N}\p{M}]"))
+    marked = F.col("_text").rlike(r"\p{M}")
+    one = rows.where(~marked).select("_id", word_bag(F.col("_text")).alias("_key"))
+    two = rows.where(marked).select("_id", word_bag(F.col("_text")).alias("_key"))
+    return one.unionByName(two.mapInArrow(_composed, two.schema))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
