@@ -21,6 +21,20 @@ def h_index(df: DataFrame, group: Sequence[str], cites: str) -> DataFrame:
     return ranked.groupBy(*group).agg(F.max(F.least("_c", "_k")).alias("h_index"))
 
 
+def numbered(df: DataFrame, group: Sequence[str], order: str, name: str, width: int = 1_000_000) -> DataFrame:
+    """df with the row's number within its group, from 1, by a unique whole-number column.
+
+    Rows are numbered within buckets of that column and raised by the sizes of the
+    group's earlier buckets, so a group of any size is spread over many tasks.
+    """
+    b = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    sizes = b.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*group, "_bucket", F.coalesce(earlier, F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(order))
+    return b.withColumn("_k", within).join(offsets, [*group, "_bucket"]).withColumn(name, F.col("_k") + F.col("_offset")).drop("_bucket", "_k", "_offset")
+
+
 def growth(first: Column, last: Column, years: int) -> Column:
     """Compound annual growth in per cent; null if either end isn't positive."""
     return F.when((first > 0) & (last > 0), (F.pow(last / first, F.lit(1.0 / years)) - 1) * 100)
@@ -33,10 +47,11 @@ def average_rank(group: Sequence[str], value: str) -> Column:
 
 
 def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rows (group, rho, n): rank correlation of the pairs without nulls."""
+    """Rows (group, rho, n): rank correlation of the pairs without nulls; null if either side is constant."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.select(*group, average_rank(group, x).alias("_x"), average_rank(group, y).alias("_y"))
-    return ranked.groupBy(*group).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    rho = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    return ranked.groupBy(*group).agg(rho.alias("rho"), F.count("*").alias("n"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

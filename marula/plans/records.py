@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marula.functions import text as T
-from marula.operators import graph, records
+from marula.operators import graph, measures, records
 from marula.plans.dims import SQL_GOALS, goals
 from marula.plans.registry import query
 from marula.session import table
@@ -100,8 +100,7 @@ def file_order_ids(spark: SparkSession, folder: str) -> DataFrame:
     sizes = p.groupBy("source_file").agg(F.count("*").alias("n"))
     ahead = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("source_file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
-    line = F.row_number().over(Window.partitionBy("source_file").orderBy("row_id")).cast("bigint")
-    return p.withColumn("line", line).join(F.broadcast(offsets), "source_file").select("row_id", "source_file", "line", (F.col("line") + F.col("offset")).alias("global_id"))
+    return measures.numbered(p, ["source_file"], "row_id", "line").join(offsets, "source_file").select("row_id", "source_file", "line", (F.col("line") + F.col("offset")).alias("global_id"))
 
 
 def _by(spark: SparkSession, folder: str, key: str) -> DataFrame:
@@ -234,7 +233,6 @@ def text_digests(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {PUBS}, s AS (SELECT title_clean, row_id, row_number() OVER (PARTITION BY title_clean ORDER BY row_id) AS k FROM pubs WHERE title_clean <> '') SELECT row_id, CASE WHEN k = 1 THEN title_clean ELSE title_clean || '_' || (k - 1)::VARCHAR END AS unique_title FROM s")
 def make_unique(spark: SparkSession, folder: str) -> DataFrame:
     """Titles made unique by numbering their repetitions."""
-    p = publications(spark, folder).where("title_clean <> ''")
-    k = F.row_number().over(Window.partitionBy("title_clean").orderBy("row_id"))
-    p = p.select("row_id", "title_clean", k.alias("k"))
+    p = publications(spark, folder).where("title_clean <> ''").select("row_id", "title_clean")
+    p = measures.numbered(p, ["title_clean"], "row_id", "k")
     return p.select("row_id", F.when(F.col("k") == 1, F.col("title_clean")).otherwise(F.concat_ws("_", "title_clean", (F.col("k") - 1).cast("string"))).alias("unique_title"))
