@@ -181,14 +181,18 @@ def like_join(spark: SparkSession, folder: str) -> DataFrame:
 
     The list of names is fixed and small, so each record is tested against all of it in one expression.
     """
-    names = sorted((r.country for r in countries(spark).collect()), key=len, reverse=True)
-    hidden = {a: [b for b in names if a != b and a in b] for a in names}
-    s = table(spark, folder, "raw_publications").select(F.lower("affiliations").alias("a"))
-    found = F.array(*(F.when(F.col("a").contains(c.lower()), F.lit(c)) for c in names))
-    rows = s.select(F.array_compact(found).alias("f")).where(F.size("f") > 0)
-    rows = rows.select(F.explode("f").alias("country"), "f")
-    over = F.create_map(*(x for a in names for x in (F.lit(a), F.array(*map(F.lit, hidden[a])).cast("array<string>"))))
-    return rows.where(~F.arrays_overlap("f", F.element_at(over, F.col("country")))).groupBy("country").agg(F.count("*").alias("n"))
+    names = sorted((r.country for r in countries(spark).collect()), key=lambda n: (-len(n), n))
+    # by first letter, longest first within each, so that few branches are tried at a place
+    heads: dict[str, list[str]] = {}
+    for n in names:
+        heads.setdefault(n[0].lower(), []).append(n[1:].lower())
+    pattern = "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in sorted(heads.items()))
+    s = table(spark, folder, "raw_publications").select(F.array_distinct(F.regexp_extract_all(F.lower("affiliations"), F.lit(pattern), F.lit(0))).alias("f"))
+    inside = [(a, b.lower()) for a in names for b in names if a != b and a in b]
+    hide = F.create_map(*(x for a in names for x in (F.lit(a.lower()), F.array(*(F.lit(b) for c, b in inside if c == a)).cast("array<string>"))))
+    found = s.select(F.explode("f").alias("name"), "f")
+    counts = found.where(~F.arrays_overlap("f", F.element_at(hide, F.col("name")))).groupBy("name").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(countries(spark).select("country", F.lower("country").alias("name"))), "name").select("country", "n")
 
 
 @query(rf"""WITH {SEGMENTS}, s AS (SELECT DISTINCT segment FROM seg), p AS (SELECT segment, regexp_replace(regexp_replace(regexp_replace(segment, '\s*\([^)]*\)', '', 'g'), '(?i)\buniversity\b', 'Univ.', 'g'), '(?i)\buniversities\b', 'Univs.', 'g') AS t FROM s),

@@ -59,20 +59,24 @@ def bootstrap(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("goal")
     x, y = rows["share"].to_numpy(), rows["score"].to_numpy()
 
-    def rho(a: np.ndarray, b: np.ndarray) -> float:
-        ra, rb = pd.Series(a).rank().to_numpy(), pd.Series(b).rank().to_numpy()
-        da, db = ra - ra.mean(), rb - rb.mean()
-        norm = np.sqrt((da * da).sum() * (db * db).sum())
-        return float((da * db).sum() / norm) if norm else float("nan")
+    def ranks(v: np.ndarray) -> np.ndarray:
+        # of each row, ties sharing the mean of their ranks
+        return (v[:, :, None] > v[:, None, :]).sum(axis=2) + ((v[:, :, None] == v[:, None, :]).sum(axis=2) + 1) / 2
+
+    def rho(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ra, rb = ranks(a), ranks(b)
+        da, db = ra - ra.mean(axis=1, keepdims=True), rb - rb.mean(axis=1, keepdims=True)
+        norm = np.sqrt((da * da).sum(axis=1) * (db * db).sum(axis=1))
+        return np.divide((da * db).sum(axis=1), norm, out=np.full(len(a), np.nan), where=norm > 0)
 
     seed = sum(ord(c) * 31**i for i, c in enumerate(str(key[0]))) % (1 << 32)
-    rng, n, drawn = np.random.default_rng([42, seed]), len(x), []
-    for _ in range(1000):
-        at = rng.integers(0, n, n)
-        if len(set(at)) >= 3 and not np.isnan(r := rho(x[at], y[at])):
-            drawn.append(r)
-    own = rho(x, y)
-    low, high = np.percentile(drawn, [2.5, 97.5]) if drawn else (None, None)
+    n = len(x)
+    at = np.random.default_rng([42, seed]).integers(0, n, (1000, n))
+    at = at[(np.diff(np.sort(at, axis=1), axis=1) > 0).sum(axis=1) >= 2]
+    drawn = rho(x[at], y[at]) if len(at) else np.array([])
+    drawn = drawn[~np.isnan(drawn)]
+    own = float(rho(x[None], y[None])[0])
+    low, high = np.percentile(drawn, [2.5, 97.5]) if len(drawn) else (None, None)
     p = M.correlation_p(None if np.isnan(own) else own, n)
     return pd.DataFrame({"country": [key[0]], "rho": [own], "p_value": [p], "ci_lower": [low], "ci_upper": [high], "n": [n]})
 

@@ -9,7 +9,7 @@ from marula.functions import text as T
 from marula.operators import graph, measures, records
 from marula.plans.dims import SQL_GOALS, goals
 from marula.plans.registry import query
-from marula.session import table
+from marula.session import checkpoint, table
 
 FILLED = ("eid", "doi", "title", "authors", "pub_year", "affiliations", "author_keywords", "index_keywords", "abstract", "cited_by")
 
@@ -189,9 +189,9 @@ def fuzzy_title_dedup(spark: SparkSession, folder: str) -> DataFrame:
     Equal word sets of one year are compared once.
     """
     left = deduplicated(spark, folder)[0].where("doi_clean is null and year is not null and title_clean <> ''")
-    rows = left.select("row_id", "year", F.array_sort(F.array_distinct(F.split("title_clean", " "))).alias("words"))
+    rows = checkpoint(left.select("row_id", "year", F.array_sort(F.array_distinct(F.split("title_clean", " "))).alias("words")))
     titles = rows.groupBy("year", "words").agg(F.min("row_id").alias("id"))
-    pairs = records.similar_titles(titles.select("id", "year", "words"))
+    pairs = checkpoint(records.similar_titles(titles.select("id", "year", "words")))
     links = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     labels = graph.min_label_components(pairs)
     of = rows.join(titles, ["year", "words"]).join(labels, "id", "left").join(links, "id", "left")

@@ -11,6 +11,7 @@ def windowed_counts(events: DataFrame, time: str = "ts", keys: tuple[str, ...] =
 
     On a stream, events later than the watermark are left out and windows older than it are final.
     """
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     e = events.withWatermark(time, late) if events.isStreaming else events
     g = e.groupBy(F.window(time, length).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return g.select(F.col("w.start").alias("window_start"), *keys, "n", "value")
