@@ -188,11 +188,9 @@ def like_join(spark: SparkSession, folder: str) -> DataFrame:
         heads.setdefault(n[0].lower(), []).append(n[1:].lower())
     pattern = "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in sorted(heads.items()))
     s = table(spark, folder, "raw_publications").select(F.array_distinct(F.regexp_extract_all(F.lower("affiliations"), F.lit(pattern), F.lit(0))).alias("f"))
-    inside = [(a, b.lower()) for a in names for b in names if a != b and a in b]
-    hide = F.create_map(*(x for a in names for x in (F.lit(a.lower()), F.array(*(F.lit(b) for c, b in inside if c == a)).cast("array<string>"))))
-    found = s.select(F.explode("f").alias("name"), "f")
-    counts = found.where(~F.arrays_overlap("f", F.element_at(hide, F.col("name")))).groupBy("name").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(countries(spark).select("country", F.lower("country").alias("name"))), "name").select("country", "n")
+    longer = spark.createDataFrame([(a, a.lower(), [b.lower() for b in names if a != b and a in b]) for a in names], "country string, name string, longer array<string>")
+    found = s.select(F.explode("f").alias("name"), "f").join(F.broadcast(longer), "name")
+    return found.where(~F.arrays_overlap("f", "longer")).groupBy("country").agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH {SEGMENTS}, s AS (SELECT DISTINCT segment FROM seg), p AS (SELECT segment, regexp_replace(regexp_replace(regexp_replace(segment, '\s*\([^)]*\)', '', 'g'), '(?i)\buniversity\b', 'Univ.', 'g'), '(?i)\buniversities\b', 'Univs.', 'g') AS t FROM s),

@@ -85,12 +85,14 @@ def range_gap_check(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("goal", "y1", "y2", link.alias("link"), (F.col("last") < 2025).alias("short_tail"))
 
 
-@query(f"WITH {SQL_GOALS} SELECT goal, goal_name FROM goals WHERE goal NOT IN (SELECT try_cast(x AS INT) FROM raw_publications, unnest(string_split(sdg_number, ',')) AS u(x) WHERE try_cast(x AS INT) IS NOT NULL AND pub_year = '2015')")
+@query(f"""WITH {SQL_GOALS}, have AS (SELECT DISTINCT try_cast(x AS INT) AS goal, pub_year, document_type FROM raw_publications, unnest(string_split(sdg_number, ',')) AS u(x)), t AS (SELECT DISTINCT document_type FROM raw_publications)
+  SELECT g.goal, goal_name, y::INT AS year, t.document_type FROM goals g CROSS JOIN generate_series(2015, 2025) AS s(y) CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.goal = g.goal AND h.pub_year = y::VARCHAR AND h.document_type = t.document_type)""")
 def missing_goals(spark: SparkSession, folder: str) -> DataFrame:
-    """Goals without any record of the first year."""
-    first = table(spark, folder, "raw_publications").where("pub_year = '2015'")
-    have = first.select(F.explode(F.split("sdg_number", ",")).alias("g")).select(F.col("g").try_cast("int").alias("goal"))
-    return goals(spark).join(have, "goal", "left_anti")
+    """Goals, years and document types without any record."""
+    p = table(spark, folder, "raw_publications")
+    have = p.select("document_type", F.col("pub_year").alias("y"), F.explode(F.split("sdg_number", ",")).alias("g")).select("document_type", "y", F.col("g").try_cast("int").alias("goal")).distinct()
+    frame = goals(spark).crossJoin(F.broadcast(p.select("document_type").distinct())).withColumn("year", F.explode(F.sequence(F.lit(2015), F.lit(2025))))
+    return frame.withColumn("y", F.col("year").cast("string")).join(have, ["goal", "y", "document_type"], "left_anti").select("goal", "goal_name", "year", "document_type")
 
 
 @query("SELECT row_id, source_file, row_number() OVER (PARTITION BY source_file ORDER BY row_id) AS line, row_number() OVER (PARTITION BY source_file ORDER BY row_id) + coalesce((SELECT sum(n) FROM (SELECT source_file AS s, count(*) AS n FROM raw_publications GROUP BY source_file) WHERE s < p.source_file), 0)::BIGINT AS global_id FROM raw_publications p")
