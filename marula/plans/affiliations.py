@@ -159,17 +159,11 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def review_queue(spark: SparkSession, folder: str) -> DataFrame:
     """Unresolved affiliations of at least five records with the three most similar known names.
 
-    Names are scored by the best-window ratio. Candidates share a word of the name that
-    few names have; each affiliation is scored against those only.
+    Names are scored by the best-window ratio, see _scored for the candidates.
     """
     n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq")).where("freq >= 5")
     open_ = checkpoint(cascade(spark, folder).where("method = 'unresolved'").join(n, "segment").select("segment", "freq", T.normal_name(F.col("segment")).alias("x")))
-    names = _names(spark, folder).withColumnRenamed("form", "y")
-    words = names.select("override_id", "y", F.explode(F.array_distinct(F.split("y", " "))).alias("w")).where("length(w) > 3")
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    rare = words.join(df, "w").withColumn("r", F.row_number().over(Window.partitionBy("override_id", "y").orderBy("df", "w"))).where("r <= 2")
-    cand = open_.select("segment", "freq", "x", F.explode(F.array_distinct(F.split("x", " "))).alias("w")).join(rare, "w").select("segment", "freq", "x", "override_id", "y").distinct()
-    scored = cand.mapInArrow(_partial, "segment string, override_id bigint, freq bigint, score double")
+    scored = _scored(spark, folder, open_)
     best = Window.partitionBy("segment").orderBy(F.desc("score"), "override_id")
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 3").select("segment", "freq", "rank", "override_id", F.round("score", 6).alias("score"))
 
@@ -202,3 +196,96 @@ def short_labels(spark: SparkSession, folder: str) -> DataFrame:
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace("segment", r"\s*\([^)]*\)", ""), r"(?i)\buniversity\b", "Univ."), r"(?i)\buniversities\b", "Univs.")
     t = F.when(t.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))).otherwise(t)
     return s.select("segment", T.cut_words(t, 30).alias("label"))
+
+
+def _grams(text):
+    """The distinct runs of four characters of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(4))))
+
+
+def _place(text):
+    return F.lower(T.strip(F.element_at(F.split(text, ","), -1)))
+
+
+def _scored(spark: SparkSession, folder: str, open_: DataFrame) -> DataFrame:
+    """Rows (segment, override_id, freq, score): affiliations against known names of the same country.
+
+    Of those, the ones that share a run of four characters that is among the name's
+    six rarest; a name of the same spelling but for an error or two always does.
+    """
+    place = table(spark, folder, "manual_overrides").select("override_id", _place(F.col("raw_string")).alias("place"))
+    names = _names(spark, folder).withColumnRenamed("form", "y").join(place, "override_id")
+    grams = names.select("override_id", "y", "place", F.explode(_grams(F.col("y"))).alias("g"))
+    df = grams.groupBy("place", "g").agg(F.count("*").alias("df"))
+    rare = grams.join(df, ["place", "g"]).withColumn("r", F.row_number().over(Window.partitionBy("override_id", "y").orderBy("df", "g"))).where("r <= 6").select("override_id", "y", "place", "g")
+    probes = open_.select("segment", "freq", "x", _place(F.col("segment")).alias("place"), F.explode(_grams(F.col("x"))).alias("g"))
+    cand = probes.join(rare, ["place", "g"]).select("segment", "freq", "x", "override_id", "y").distinct()
+    return cand.mapInArrow(_partial, "segment string, override_id bigint, freq bigint, score double")
+
+
+@query()
+def fuzzy_match_top2(spark: SparkSession, folder: str) -> DataFrame:
+    """Unresolved affiliations with their best known name by the best-window ratio, and how it's judged.
+
+    Accepted at 92 or more if it leads the next name by 5; of several perfect ones the
+    first is taken and marked so; all else stays unresolved.
+    """
+    n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq"))
+    open_ = checkpoint(cascade(spark, folder).where("method = 'unresolved'").join(n, "segment").select("segment", "freq", T.normal_name(F.col("segment")).alias("x")))
+    scored = checkpoint(_scored(spark, folder, open_))
+    order = Window.partitionBy("segment").orderBy(F.desc("score"), "override_id")
+    top = scored.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("segment", "freq").agg(
+        F.max(F.when(F.col("r") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("next"), F.max(F.when(F.col("r") == 1, F.col("override_id"))).alias("first_id")
+    )
+    perfect = scored.where("score = 100").groupBy("segment").agg(F.count("*").alias("n_perfect"))
+    j = top.join(perfect, "segment", "left")
+    gap = F.col("best") - F.coalesce("next", F.lit(0.0))
+    method = F.when((F.col("best") >= 92) & (gap >= 5), "fuzzy").when((F.col("best") == 100) & (F.col("n_perfect") > 1), "fuzzy_tiebreak_first").when(F.col("best") == 100, "fuzzy_tiebreak").otherwise("unresolved")
+    return j.select("segment", "freq", F.round("best", 6).alias("best"), F.round("next", 6).alias("next"), method.alias("method"), F.when(method != "unresolved", F.col("first_id")).alias("override_id"))
+
+
+@query(rf"""WITH {SEGMENTS}, d AS (SELECT DISTINCT segment FROM seg WHERE regexp_matches(segment, '(^|,)\s*\p{{Lu}}{{5,10}}\s*,')), a AS (SELECT segment, upper(regexp_extract(segment, '(?:^|,)\s*(\p{{Lu}}{{5,10}})\s*,', 1)) AS acronym FROM d),
+  o AS (SELECT regexp_extract(raw_string, '\(([A-Z]{{5,10}})\)', 1) AS acronym, min(override_id) AS override_id FROM manual_overrides WHERE regexp_matches(raw_string, '\([A-Z]{{5,10}}\)') GROUP BY 1)
+  SELECT a.segment, a.acronym, o.override_id FROM a LEFT JOIN o USING (acronym)""")
+def acronym_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Affiliations with a part that is only capitals, and the reviewed string that gives that acronym in brackets."""
+    d = segments(spark, folder).select("segment").distinct().where(F.col("segment").rlike(r"(^|,)\s*\p{Lu}{5,10}\s*,"))
+    a = d.select("segment", F.upper(F.regexp_extract("segment", r"(?:^|,)\s*(\p{Lu}{5,10})\s*,", 1)).alias("acronym"))
+    o = table(spark, folder, "manual_overrides").where(F.col("raw_string").rlike(r"\([A-Z]{5,10}\)"))
+    o = o.groupBy(F.regexp_extract("raw_string", r"\(([A-Z]{5,10})\)", 1).alias("acronym")).agg(F.min("override_id").alias("override_id"))
+    return a.join(o, "acronym", "left").select("segment", "acronym", "override_id")
+
+
+@query(f"""WITH {CASCADE}, n AS (SELECT segment, count(*) AS freq FROM seg GROUP BY 1), b AS (SELECT segment, method AS new_method, CASE WHEN method = 'stripped' THEN 'unresolved' ELSE method END AS old_method FROM resolved)
+  SELECT old_method, new_method, count(*) AS n_segments, sum(freq)::BIGINT AS n_uses FROM b JOIN n USING (segment) GROUP BY ALL""")
+def rule_impact(spark: SparkSession, folder: str) -> DataFrame:
+    """What taking off unit labels changes: each affiliation's method without that step and with it, weighted by use."""
+    new = cascade(spark, folder)
+    old = new.select("segment", F.when(F.col("method") == "stripped", "unresolved").otherwise(F.col("method")).alias("old_method"))
+    n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq"))
+    both = old.join(new.select("segment", F.col("method").alias("new_method")), "segment", "full_outer").join(n, "segment")
+    return both.groupBy("old_method", "new_method").agg(F.count("*").alias("n_segments"), F.sum("freq").alias("n_uses"))
+
+
+@query(rf"""WITH {CASCADE}, {SQL_COUNTRIES}, n AS (SELECT segment, count(*) AS freq FROM seg GROUP BY 1), c AS (SELECT r.segment, freq, lower(regexp_replace(list_extract(string_split(r.segment, ','), -1), '{_STRIP}', '', 'g')) IN (SELECT lower(country) FROM countries) AS listed FROM resolved r JOIN n USING (segment) WHERE method = 'unresolved')
+  SELECT listed, count(*) AS n_segments, sum(freq)::BIGINT AS n_uses, round(100 * sum(freq) / sum(sum(freq)) OVER (), 6) AS share FROM c GROUP BY listed""")
+def review_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Unresolved affiliations of the listed countries and of others, with their share of uses."""
+    n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq"))
+    last = F.lower(T.strip(F.element_at(F.split("segment", ","), -1)))
+    known = countries(spark).select(F.lower("country").alias("c"), F.lit(True).alias("hit"))
+    u = cascade(spark, folder).where("method = 'unresolved'").select("segment").join(n, "segment").withColumn("c", last).join(F.broadcast(known), "c", "left")
+    g = u.groupBy(F.coalesce("hit", F.lit(False)).alias("listed")).agg(F.count("*").alias("n_segments"), F.sum("freq").alias("n_uses"))
+    return g.withColumn("share", F.round(100 * F.col("n_uses") / F.sum("n_uses").over(Window.partitionBy()), 6))
+
+
+@query(rf"""WITH {SQL_COUNTRIES}, t AS (SELECT override_id, regexp_replace(list_extract(string_split(raw_string, ','), -1), '{_STRIP}', '', 'g') AS name FROM manual_overrides)
+  SELECT t.override_id, t.name, coalesce(a.subregion, b.subregion) AS subregion FROM t LEFT JOIN countries a ON a.country = t.name LEFT JOIN countries b ON b.official = t.name""")
+def two_key_country_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The subregion of each reviewed string's last part, by the country's name or else its official name."""
+    c = countries(spark)
+    t = table(spark, folder, "manual_overrides").select("override_id", T.strip(F.element_at(F.split("raw_string", ","), -1)).alias("name"))
+    t = t.join(F.broadcast(c.select(F.col("country").alias("name"), F.col("subregion").alias("x"))), "name", "left")
+    t = t.join(F.broadcast(c.select(F.col("official").alias("name"), F.col("subregion").alias("y"))), "name", "left")
+    return t.select("override_id", "name", F.coalesce("x", "y").alias("subregion"))

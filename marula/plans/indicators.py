@@ -185,3 +185,13 @@ def sampled_records(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "raw_publications").select("document_type", "row_id", F.xxhash64(F.lit(42), "row_id").alias("h"))
     k = F.row_number().over(Window.partitionBy("document_type").orderBy("h", "row_id"))
     return p.withColumn("k", k).where("k <= 5").select("document_type", "row_id")
+
+
+@query(f"""WITH {PUBS}, o AS (SELECT count(*) AS n, sum(cites)::BIGINT AS c, count(DISTINCT source_title) AS s, round(100.0 * count(doi_clean) / count(*), 1) AS d FROM pubs)
+  SELECT 'records' AS metric, format('{{:,}}', n) AS value FROM o UNION ALL SELECT 'citations', format('{{:,}}', c) FROM o UNION ALL SELECT 'sources', format('{{:,}}', s) FROM o UNION ALL SELECT 'with DOI', format('{{:.1f}} %', d) FROM o""")
+def formatted_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """The totals as text for a report, one metric a row."""
+    p = publications(spark, folder)
+    o = p.agg(F.count("*").alias("n"), F.sum("cites").cast("bigint").alias("c"), F.countDistinct("source_title").alias("s"), F.round(100.0 * F.count("doi_clean") / F.count("*"), 1).alias("d"))
+    rows = [("records", F.format_number("n", 0)), ("citations", F.format_number("c", 0)), ("sources", F.format_number("s", 0)), ("with DOI", F.format_string("%.1f %%", "d"))]
+    return o.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in rows))).alias("x")).select("x.*")

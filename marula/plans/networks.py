@@ -141,3 +141,12 @@ def thematic_evolution(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append((f"{a}--{one}", f"{b}--{two}", len(both) / min(len(x), len(y)), len(both) / len(x.keys() | y.keys()), min(weight, 1.0)))
     e = spark.createDataFrame(rows, "src string, dst string, inclusion double, stability double, inc_weighted double")
     return e.select("src", "dst", *(F.round(c, 6).alias(c) for c in ("inclusion", "stability", "inc_weighted")))
+
+
+@query()
+def evolution_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """The evolution's links in long form for flow charts: two rows for each, one at either end, period suffixes taken off."""
+    e = thematic_evolution(spark, folder).where("inclusion > 0").withColumn("flow", F.concat_ws(">", "src", "dst"))
+    ends = F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("node")) for side, c in (("from", "src"), ("to", "dst"))))
+    x = e.select("flow", F.col("inclusion").alias("weight"), F.explode(ends).alias("x")).select("flow", "weight", "x.*")
+    return x.select("flow", "side", F.regexp_replace("node", r"--\d{4}-(\d{4})?$", "").alias("theme"), F.regexp_extract("node", r"--(\d{4}-(?:\d{4})?)$", 1).alias("period"), "weight")
