@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from marula.operators import graph
 from marula.plans.indicators import BY_COUNTRY, by_country
 from marula.plans.keywords import KEYWORDS, author_keywords
 from marula.plans.registry import query
-from marula.session import table
 
 
 @query(f"""WITH {BY_COUNTRY}, {KEYWORDS}, f AS (SELECT row_id, min(country) AS country FROM bc GROUP BY 1), t AS (SELECT f.country, kw.keyword, kw.source_title FROM kw JOIN f USING (row_id)),

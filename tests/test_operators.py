@@ -251,3 +251,9 @@ def test_spearman_of_constant_is_null(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 2.0), ("b", 1.0, 3.0), ("c", 1.0, 5.0), ("c", 2.0, 4.0)], "g string, x double, y double")
     got = {r.g: r.rho for r in measures.spearman(df, ["g"], "x", "y").collect()}
     assert got["a"] is None and got["b"] is None and got["c"] == pytest.approx(-1)
+
+
+def test_growth(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (0.0, 3.0), (3.0, 0.0), (None, 1.0), (4.0, 4.0)], "a double, b double")
+    got = [r[0] for r in df.select(measures.growth(df.a, df.b, 1)).collect()]
+    assert got == [pytest.approx(100), None, None, None, pytest.approx(0)]
