@@ -302,7 +302,7 @@ def link_names(found: DataFrame) -> DataFrame:
     keyed = keyed.select("name", "country", "kind", "field", "proper", "n", F.explode("keys").alias("key"))
     other = keyed.select(F.col("name").alias("right"), "country", "kind", "field", F.col("proper").alias("b"), F.col("n").alias("n_b"), "key")
     near = keyed.withColumnsRenamed({"name": "left", "proper": "a", "n": "n_a"}).join(other, ["country", "kind", "field", "key"])
-    near = near.where("n_a < n_b or (n_a = n_b and left > right)").where("n_a <= 2 or n_a <= 0.01 * n_b")
+    near = near.where("n_a < n_b or (n_a = n_b and left > right)").where((F.col("n_a") <= 2) | (F.col("n_a") <= RARE * F.col("n_b")))
     near = near.select("left", "right", "a", "n_a", "b", "n_b").distinct()
     near = near.mapInArrow(_comparing, "left string, right string, n_b bigint, e int, far double")
     # a misspelling goes to the one nearest name, so that it can't bridge two organisations
