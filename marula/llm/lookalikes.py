@@ -106,8 +106,9 @@ def consistent(text: str) -> tuple[str, list[str]]:
             if not any(c in LOOKS for c in word) or "Latin" not in could[i]:
                 continue
             if "Latin" not in own[i]:
-                # wholly in another script: true if a neighbour can be nothing but that script
-                near = [j for j in (i - 1, i + 1) if 0 <= j < len(tokens)]
+                # wholly in another script: true if a neighbour, parted by blanks only, can be nothing but that script
+                near = [i - 1] if i and out[tokens[i - 1].end() : m.start()].isspace() else []
+                near += [i + 1] if i + 1 < len(tokens) and out[m.end() : tokens[i + 1].start()].isspace() else []
                 if any("Latin" not in could[j] and own[i] & own[j] for j in near):
                     continue
             found.add("other_script")

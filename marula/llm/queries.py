@@ -138,4 +138,26 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_profile": p10_profile,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_GRAMS = "(SELECT DISTINCT {id}, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT {id}, {words} AS w FROM {table}) t, unnest(generate_series(1, len(w) - 11)) AS u(i))"
+_LOOKS = "".join(lookalikes.LOOKS)
+
+SQL = {
+    "p1_found": r"""WITH t AS (SELECT row_id, array_to_string(list_sort(list_filter(string_split(regexp_replace(regexp_replace(lower(nfc_normalize(title)), '[\p{Pd}−''‘’ʼʹ＇`´]|[\s\p{Z}\x{85}]', ' ', 'g'), '[^\p{L}\p{N}\p{M} ]', '', 'g'), ' '), lambda x: x <> '')), ' ') AS k
+      FROM raw_publications WHERE title IS NOT NULL) SELECT min(row_id) AS first_row_id, count(*) AS n_copies FROM t WHERE k <> '' GROUP BY k HAVING count(*) >= 2""",
+    "p2_found": """WITH RECURSIVE e AS (SELECT removed_row_id AS a, kept_row_id AS b FROM dedup_log WHERE removed_row_id IS NOT NULL AND kept_row_id IS NOT NULL), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+      r(v, seed) AS (SELECT a, a FROM l UNION SELECT l.b, r.seed FROM r JOIN l ON l.a = r.v) SELECT v AS row_id, min(seed) AS group_id FROM r GROUP BY v""",
+    "p5_found": "SELECT row_id, field_name FROM (SELECT row_id, 'title' AS field_name, title AS v FROM raw_publications UNION ALL SELECT row_id, 'affiliations', affiliations FROM raw_publications) WHERE regexp_matches(v, '"
+    + "|".join(
+        (
+            rf"[{lookalikes.WIDE}{lookalikes.JOINED}{lookalikes.BLANK_MARKS}]",
+            r"\p{L}[\x{300}-\x{36F}]",
+            r"\p{Cf}",
+            r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]",
+            rf"\p{{Latin}}[{_LOOKS}]|[{_LOOKS}]\p{{Latin}}|(^|[^\p{{L}}])[{_LOOKS}]+([^\p{{L}}]|$)",
+        )
+    )
+    + "')",
+    "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM {_GRAMS.format(id="doc_id", words=_WORDS.format("text"), table="documents")} d
+      JOIN {_GRAMS.format(id="item_id", words=_WORDS.format("passage"), table="eval_items")} i USING (g)""",
+}

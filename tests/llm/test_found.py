@@ -182,6 +182,7 @@ def test_p4_against_brute_force(spark, data):
         ("trial: а ten-year study", "trial: a ten-year study", ["other_script"]),
         ("[полевое исследование с людьми]", None, []),
         ("с людьми", None, []),
+        ("[полевое исследование]: а panel", "[полевое исследование]: a panel", ["other_script"]),
         ("β-carotene, α = 5 %, TNFα, CO₂, km², °C, “x” – ’ …", None, []),
         ("Été à l’École", None, []),
         ("دراسة ميدانية የመስክ ጥናት 中文", None, []),
