@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marula.llm import canonical_terms, components, cooccurrence, format_copies, leaks, lookalikes, mixing, names, reading_level
 from marula.operators import segmentation as S
+from marula.plans import packed
 from marula.session import checkpoint, table
 
 
@@ -141,12 +142,18 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _GRAMS = "(SELECT DISTINCT {id}, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT {id}, {words} AS w FROM {table}) t, unnest(generate_series(1, len(w) - 11)) AS u(i))"
 _LOOKS = "".join(lookalikes.LOOKS)
+_PAIRS = f"""{packed.items_sql()}, it AS (SELECT DISTINCT row_id, field_name, CASE WHEN field_name = 'affiliations' THEN lower(trim(list_extract(string_split(item, ','), -1))) ELSE lower(item) END AS item FROM v WHERE field_name <> 'authors'),
+  ok AS (SELECT * FROM it WHERE item <> ''), n AS (SELECT field_name, count(DISTINCT row_id) AS n_rows FROM ok GROUP BY 1), s AS (SELECT field_name, item, count(*) AS n FROM ok GROUP BY ALL HAVING count(*) >= 8), f AS (SELECT ok.*, s.n FROM ok JOIN s USING (field_name, item)),
+  ab AS (SELECT a.field_name, a.item AS item_a, b.item AS item_b, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS n_ab FROM f a JOIN f b ON a.field_name = b.field_name AND a.row_id = b.row_id AND a.item < b.item GROUP BY ALL),
+  pairs AS (SELECT * FROM ab JOIN n USING (field_name) WHERE n_ab >= 8 AND n_ab >= 0.002 * n_rows AND n_ab * n_rows >= 4 * n_a * n_b)"""
 
 SQL = {
     "p1_found": r"""WITH t AS (SELECT row_id, array_to_string(list_sort(list_filter(string_split(regexp_replace(regexp_replace(lower(nfc_normalize(title)), '[\p{Pd}−''‘’ʼʹ＇`´]|[\s\p{Z}\x{85}]', ' ', 'g'), '[^\p{L}\p{N}\p{M} ]', '', 'g'), ' '), lambda x: x <> '')), ' ') AS k
       FROM raw_publications WHERE title IS NOT NULL) SELECT min(row_id) AS first_row_id, count(*) AS n_copies FROM t WHERE k <> '' GROUP BY k HAVING count(*) >= 2""",
     "p2_found": """WITH RECURSIVE e AS (SELECT removed_row_id AS a, kept_row_id AS b FROM dedup_log WHERE removed_row_id IS NOT NULL AND kept_row_id IS NOT NULL), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
       r(v, seed) AS (SELECT a, a FROM l UNION SELECT l.b, r.seed FROM r JOIN l ON l.a = r.v) SELECT v AS row_id, min(seed) AS group_id FROM r GROUP BY v""",
+    "p4_found": f"WITH {_PAIRS} SELECT field_name, item_a, item_b FROM pairs",
+    "p4_pairs": f"WITH {_PAIRS} SELECT field_name, item_a, item_b, n_a, n_b, n_ab, n_rows, n_ab::DOUBLE * n_rows / (n_a * n_b) AS lift FROM pairs",
     "p5_found": "SELECT row_id, field_name FROM (SELECT row_id, 'title' AS field_name, title AS v FROM raw_publications UNION ALL SELECT row_id, 'affiliations', affiliations FROM raw_publications) WHERE regexp_matches(v, '"
     + "|".join(
         (
