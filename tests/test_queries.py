@@ -29,6 +29,10 @@ def db(data):
     return c
 
 
+QUERIES = {**QUERIES, **packed.QUERIES}
+SQL = {**SQL, **packed.SQL}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, data, db, name):
     df = QUERIES[name](spark, data)
