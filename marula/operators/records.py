@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,31 +83,49 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-#: Titles of more words are found by equal parts instead of left-out words.
-LONG = 40
+#: Titles of one block of a year; two blocks are compared at a time.
+BLOCK = 1000
 
 
-def _deleted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of each title's word set with up to two words left out."""
-    from xxhash import xxh64_intdigest
+def _letter_counts(texts: Sequence[str]):
+    """A row of 32 counts of characters, by the last five bits of their codes, for each text."""
+    import numpy as np
 
-    for b in batches:
-        keys = []
-        for words in b.column("words").to_pylist():
-            n = len(words)
-            own = {xxh64_intdigest(" ".join(words))}
-            if 2 < n <= LONG + 4:
-                own |= {xxh64_intdigest(" ".join(words[:i] + words[i + 1 :])) for i in range(n)}
-            if 4 < n <= LONG + 4:
-                own |= {xxh64_intdigest(" ".join(words[:i] + words[i + 1 : j] + words[j + 1 :])) for i in range(n) for j in range(i + 1, n)}
-            if n > LONG:
-                # four words that differ can't touch all of five parts, so one part is equal
-                parts: list[list[str]] = [[] for _ in range(5)]
-                for w in words:
-                    parts[xxh64_intdigest(w) % 5].append(w)
-                own |= {xxh64_intdigest(f"{k} " + " ".join(x)) for k, x in enumerate(parts)}
-            keys.append([k - (1 << 63) for k in own])
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int64()))], [*b.schema.names, "keys"])
+    bags = np.zeros((len(texts), 32), np.int16)
+    for i, t in enumerate(texts):
+        np.add.at(bags[i], np.frombuffer(t.encode("utf-32-le"), np.uint32) & 31, 1)
+    return bags
+
+
+def _near_in_blocks(least: float):
+    """Pairs of two blocks whose remaining words are spelled alike.
+
+    The words of a title in any order are the same characters, so two titles' indel
+    distance is at least the difference of their counts of characters; only pairs that
+    pass by that bound are scored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        share = 1 - least / 100
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                left, right = (sorted((len(x["t"]), x["id"], x["t"]) for x in row[side]) for side in ("l", "r"))
+                bags, sizes = _letter_counts([x[2] for x in right]), np.array([x[0] for x in right])
+                own = bags if row["same"] else _letter_counts([x[2] for x in left])
+                found = []
+                for i, (n, a, t) in enumerate(left):
+                    first = i + 1 if row["same"] else int(np.searchsorted(sizes, n * (1 - share) / (1 + share) - 1e-6))
+                    last = int(np.searchsorted(sizes, n * (1 + share) / (1 - share) + 1e-6, "right"))
+                    apart = np.abs(bags[first:last] - own[i]).sum(axis=1, dtype=np.int32)
+                    for j in np.flatnonzero(apart <= share * (sizes[first:last] + n) + 1e-6) + first:
+                        if token_set_ratio(t, right[j][2]) >= least:
+                            found.append((min(a, right[j][1]), max(a, right[j][1])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return run
 
 
 def _scored(least: float):
@@ -118,27 +137,53 @@ def _scored(least: float):
     return run
 
 
-def similar_titles(titles: DataFrame, least: float = 95.0) -> DataFrame:
-    """Pairs (a, b) of title ids, years at most one apart, whose token-set ratio is at least that.
+def _nearly_contained(titles: DataFrame, least: float) -> DataFrame:
+    """Pairs of which one title's own words are too few to bring the ratio of the common words and that title below least.
 
-    titles: id, year, words (sorted distinct words), n. Two equi-joins make the pairs: a
-    title is looked up by its rarest word among the words of all others, which finds
-    every one that it's contained in, and by its word set less up to two words, which
-    finds those that differ in as many words. Both are as narrow as the titles are alike.
+    Own words, each with a blank, are at most a fixed share of the title. So of its
+    rarest words that together are more than that share, the other title has one.
     """
+    share = (200 - 2 * least) / (200 - least)
     near = F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))
-    words = titles.select("id", "year", F.explode("words").alias("word"))
+    words = titles.select("id", "year", F.explode("words").alias("word"), (share * F.length(F.array_join("words", " ")) + 1e-6).alias("bound"))
     rare = words.groupBy("word").agg(F.count("*").alias("df"))
-    rarest = words.join(rare, "word").groupBy("id", "year").agg(F.min(F.struct("df", "word")).alias("m")).select(F.col("id").alias("a"), near.alias("year"), F.col("m.word").alias("word"))
-    held = rarest.join(words.withColumnRenamed("id", "b"), ["year", "word"]).where("a <> b").select("a", "b")
-    # only sets that can be contained are worth scoring
+    ahead = Window.partitionBy("id").orderBy("df", "word").rowsBetween(Window.unboundedPreceding, -1)
+    first = words.join(rare, "word").withColumn("ahead", F.coalesce(F.sum(F.length("word") + 1).over(ahead), F.lit(0))).where("ahead <= bound")
+    first = first.select(F.col("id").alias("a"), near.alias("year"), "word", "bound")
+    held = first.join(words.select(F.col("id").alias("b"), "year", "word"), ["year", "word"]).where("a <> b").select("a", "b", "bound").distinct()
     side = titles.select("id", "words")
-    held = held.distinct().join(side.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(side.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
-    held = held.where(F.size(F.array_except("wa", "wb")) == 0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    keyed = titles.select("id", "year", "words").mapInArrow(_deleted_words, "id bigint, year int, words array<string>, keys array<bigint>")
-    keyed = keyed.select("id", "year", F.explode("keys").alias("key"))
-    left = keyed.select(F.col("id").alias("a"), near.alias("year"), "key")
-    close = left.join(keyed.withColumnRenamed("id", "b"), ["year", "key"]).where("a < b").select("a", "b").distinct()
-    text = titles.select("id", F.array_join("words", " ").alias("t"))
-    close = close.join(text.withColumnsRenamed({"id": "a", "t": "x"}), "a").join(text.withColumnsRenamed({"id": "b", "t": "y"}), "b")
-    return close.mapInArrow(_scored(least), "a bigint, b bigint").union(held).distinct()
+    held = held.join(side.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(side.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
+    own = F.aggregate(F.array_except("wa", "wb"), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    held = held.where(own <= F.col("bound")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.array_join("wa", " ").alias("x"), F.array_join("wb", " ").alias("y"))
+    return held.mapInArrow(_scored(least), "a bigint, b bigint")
+
+
+def _nearly_spelled(titles: DataFrame, least: float) -> DataFrame:
+    """Pairs whose whole word sets are spelled alike, however many words differ.
+
+    Their lengths differ by a fixed factor at most, so they stand in the same or in
+    neighbouring classes of length. Classes of a year are cut into blocks, and block
+    meets block by an equi-join.
+    """
+    factor = (200 - least) / least
+    text = titles.select("id", "year", F.array_join("words", " ").alias("t"))
+    text = text.withColumn("k", F.floor(F.log(F.length("t").cast("double")) / math.log(factor * (1 + 1e-9))))
+    n = text.groupBy("year", "k").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    text = text.join(n, ["year", "k"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")))
+    blocks = text.groupBy("year", "k", "part").agg(F.collect_list(F.struct("id", "t")).alias("l"))
+    # each two classes once: itself, the next length, and the next year with the same or a neighbouring length
+    steps = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(k).alias("k")) for y, k in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)))))
+    left = blocks.withColumn("s", steps).select("l", F.col("part").alias("p"), F.col("s.y").alias("dy"), F.col("s.k").alias("dk"), (F.col("year") + F.col("s.y")).alias("year"), (F.col("k") + F.col("s.k")).alias("k"))
+    own = (F.col("dy") == 0) & (F.col("dk") == 0)
+    pairs = left.join(blocks.withColumnRenamed("l", "r"), ["year", "k"]).where(~own | (F.col("p") <= F.col("part")))
+    return pairs.select("l", "r", (own & (F.col("p") == F.col("part"))).alias("same")).repartition(F.xxhash64("l"), F.xxhash64("r")).mapInArrow(_near_in_blocks(least), "a bigint, b bigint")
+
+
+def similar_titles(titles: DataFrame, least: float = 95.0) -> DataFrame:
+    """Pairs (a, b) of title ids, years at most one apart, whose token-set ratio is at least that.
+
+    titles: id, year, words (sorted distinct words). The ratio is the best of three, and
+    each has candidates of its own bound: a title's words nearly all in the other, either
+    way, or both titles spelled nearly alike. So no pair is lost before it's scored.
+    """
+    return _nearly_contained(titles, least).union(_nearly_spelled(titles, least)).distinct()

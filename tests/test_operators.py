@@ -137,6 +137,29 @@ def test_similar_titles(spark):
     assert records.similar_titles(df.limit(0)).count() == 0
 
 
+def test_similar_titles_finds_every_pair(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(records, "BLOCK", 25)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 11))) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        t = rng.sample(words, 14)
+        texts.append(t)
+        # one word less here, three more there; then a letter more or less in many words
+        texts.append(t[1:] + rng.sample(words, 4))
+        texts.append([x + "s" if rng.random() < 0.5 else x for x in t])
+        texts.append([x[:-1] if rng.random() < 0.5 else x for x in t])
+    texts += [["vaccination"], ["vaccinations"], ["follow", "up", "of", "patients"], ["followup", "of", "patients"]]
+    base = "access annotated corrected drives flooding genkukurong household inquiry interim methods national settlement vaccination provincial".split()
+    texts += [[*base, "of"], [*base, "brief", "follow", "up"]]
+    rows = [(i, 2020 + rng.randint(0, 2) if i < 320 else 2020, sorted(set(x for x in t if x))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id bigint, year int, words array<string>")
+    got = sorted((r.a, r.b) for r in records.similar_titles(df).collect())
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and abs(a[1] - b[1]) <= 1 and records.token_set_ratio(" ".join(a[2]), " ".join(b[2])) >= 95)
+    assert got == want and (324, 325) in got
+    assert any(min(len(set(rows[a][2]) - set(rows[b][2])), len(set(rows[b][2]) - set(rows[a][2]))) > 2 for a, b in got)
+
+
 def union_find(pairs):
     up = {}
 
