@@ -83,6 +83,131 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def _masks(texts: Sequence[str], codes: dict[str, int]):
+    """For each text of up to 64 characters and each code, the bits of the places where it stands."""
+    import numpy as np
+
+    out = np.zeros((len(texts), len(codes) + 1), np.uint64)
+    for i, t in enumerate(texts):
+        for j, c in enumerate(t[:64]):
+            out[i, codes[c]] |= np.uint64(1 << j)
+    return out
+
+
+def _coded(texts: Sequence[str], codes: dict[str, int], before: int, after: int):
+    """The texts as rows of codes, 0 before and behind them."""
+    import numpy as np
+
+    out = np.zeros((len(texts), before + max(map(len, texts)) + after), np.int32)
+    for i, t in enumerate(texts):
+        out[i, before : before + len(t)] = [codes[c] for c in t]
+    return out
+
+
+def partial_ratios(pairs: Sequence[tuple[str, str]]) -> list[float]:
+    """partial_ratio of each pair, the windows of many pairs side by side."""
+    import numpy as np
+
+    out = [0.0] * len(pairs)
+    sized: dict[int, list[tuple[int, str, str]]] = {}
+    for i, (a, b) in enumerate(pairs):
+        a, b = (b, a) if len(a) > len(b) else (a, b)
+        if not a or len(a) > 64:
+            out[i] = partial_ratio(a, b)
+        else:
+            sized.setdefault(len(a), []).append((i, a, b))
+    for n, same in sized.items():
+        same.sort(key=lambda x: len(x[2]))
+        full = np.uint64((1 << n) - 1)
+        for k in range(0, len(same), 1000):
+            part = same[k : k + 1000]
+            codes = {c: i for i, c in enumerate(sorted(set("".join(x[1] + x[2] for x in part))), 1)}
+            table, text = _masks([x[1] for x in part], codes), _coded([x[2] for x in part], codes, n - 1, n)
+            sizes = np.array([len(x[2]) for x in part])[:, None]
+            starts = np.arange(1 - n, int(sizes.max()))[None, :]
+            own = np.arange(len(part))[:, None]
+            row = np.full((len(part), starts.shape[1]), full)
+            for t in range(n):
+                hit = row & table[own, text[:, t : t + starts.shape[1]]]
+                row = (row + hit) | (row - hit)
+            common = n - np.bitwise_count(row & full).astype(np.int64)
+            length = np.minimum(starts + n, sizes) - np.maximum(starts, 0)
+            best = (200.0 * common / (n + np.maximum(length, 0))).max(axis=1)
+            for (i, _, _), v in zip(part, best.tolist()):
+                out[i] = v
+    return out
+
+
+def _window_bounds(texts: Sequence[str], names: Sequence[str], stride: int = 8):
+    """A lower and an upper bound of the partial ratio of each text and name; all names have one length, and no text is shorter.
+
+    Windows at the texts' ends are all scored, those within at every stride-th place.
+    From one place to the next the common subsequence grows by one at most, which
+    bounds the windows between.
+    """
+    import numpy as np
+
+    n = len(names[0])
+    full = np.uint64((1 << n) - 1)
+    codes = {c: i for i, c in enumerate(sorted(set("".join((*texts, *names)))), 1)}
+    text = _coded(texts, codes, 0, n + 2 * stride)
+    clipped = np.zeros((len(texts), len(names)))
+    for turn in (1, -1):
+        table = np.ascontiguousarray(_masks([x[::turn] for x in names], codes).T)
+        ends = text if turn == 1 else _coded([x[::-1] for x in texts], codes, 0, 0)
+        row = np.full(clipped.shape, full)
+        for m in range(1, n):
+            hit = row & table[ends[:, m - 1]]
+            row = (row + hit) | (row - hit)
+            np.maximum(clipped, 200.0 * (n - np.bitwise_count(row & full).astype(np.int64)) / (n + m), out=clipped)
+    table = np.ascontiguousarray(_masks(names, codes).T)
+    last = np.array([len(x) for x in texts]) - n
+    starts = np.arange(0, int(last.max()) + stride, stride)
+    starts = np.append(starts, starts[-1] + stride) if len(starts) == 1 else starts
+    row = np.full((len(texts), len(starts), len(names)), full)
+    for t in range(n):
+        hit = row & table[text[:, starts + t]]
+        row = (row + hit) | (row - hit)
+    common = n - np.bitwise_count(row & full).astype(np.int64)
+    whole = (starts[None, :] <= last[:, None])[:, :, None]
+    low = np.maximum(clipped, 200.0 * np.where(whole, common, 0).max(axis=1) / (2 * n))
+    between = np.minimum((common[:, :-1] + common[:, 1:] + stride) // 2, n).max(axis=1)
+    return low, np.maximum(low, 200.0 * between / (2 * n))
+
+
+def best_partial(texts: Sequence[str], names: Sequence[str], k: int) -> list[list[tuple[float, int]]]:
+    """For each text the names (score, index) by partial ratio: the k best, and all that are level with the last of them."""
+    import numpy as np
+
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    sized: dict[int, list[int]] = {}
+    for j, y in enumerate(names):
+        sized.setdefault(len(y), []).append(j)
+    out: list[list[tuple[float, int]]] = [[] for _ in texts]
+    for at in range(0, len(order), 128):
+        part = order[at : at + 128]
+        low, high = np.zeros((len(part), len(names))), np.full((len(part), len(names)), 100.0)
+        for n, js in sized.items():
+            first = next((i for i, x in enumerate(part) if len(texts[x]) >= n), len(part))
+            if 0 < n <= 64 and first < len(part):
+                low[first:, js], high[first:, js] = _window_bounds([texts[x] for x in part[first:]], [names[j] for j in js])
+        kth = min(k, len(names))
+        # the likeliest first, so that what they reach rules out the others
+        ahead = np.argpartition(-(low + high), kth - 1, axis=1)[:, :kth]
+        todo = np.zeros(low.shape, bool)
+        todo[np.arange(len(part))[:, None], ahead] = True
+        for _ in range(2):
+            i, j = np.nonzero(todo)
+            low[i, j] = high[i, j] = partial_ratios([(texts[part[x]], names[y]) for x, y in zip(i.tolist(), j.tolist())])
+            done = low == high
+            least = np.partition(low, -kth, axis=1)[:, -kth][:, None]
+            todo = (high >= least) & ~done
+        for x, y in zip(*(v.tolist() for v in np.nonzero(low == high))):
+            if low[x, y] >= least[x, 0]:
+                out[part[x]].append((float(low[x, y]), y))
+    return out
+
+
 #: Titles of one block of a year; two blocks are compared at a time.
 BLOCK = 1000
 

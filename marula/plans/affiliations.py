@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marula.functions import text as T
-from marula.operators.records import partial_ratio
+from marula.operators.records import best_partial
 from marula.plans.dims import INSTITUTION_WORDS, ROLES, SQL_COUNTRIES, UNIT_PREFIXES, countries
 from marula.plans.registry import query
-from marula.session import checkpoint, table
+from marula.session import checkpoint, partitions, table
 
 _STRIP = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -149,21 +149,33 @@ def stub_classes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "manual_overrides").select("override_id", stub.alias("stub"))
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        score = [partial_ratio(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("segment"), b.column("override_id"), b.column("freq"), pa.array(score, pa.float64())], ["segment", "override_id", "freq", "score"])
+#: Texts and names of one block, which are scored all with all.
+BLOCK = 500
+
+
+def _best(k: int):
+    """For each two blocks the k best names of each text, and those level with the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("x", pa.string()), ("place", pa.string()), ("override_id", pa.int64()), ("score", pa.float64())])
+        for b in batches:
+            for row in b.to_pylist():
+                texts, names = row["texts"], row["names"]
+                found = [(x, row["place"], names[j]["override_id"], v) for x, best in zip(texts, best_partial(texts, [n["y"] for n in names], k)) for v, j in best]
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t.type) for c, t in enumerate(schema)], schema=schema)
+
+    return run
 
 
 @query()
 def review_queue(spark: SparkSession, folder: str) -> DataFrame:
-    """Unresolved affiliations of at least five records with the three most similar known names.
+    """Unresolved affiliations of at least five records with the three most similar known names of their country.
 
-    Names are scored by the best-window ratio, see _scored for the candidates.
+    Names are scored by the best-window ratio. One whose country has no known name comes once, without a name.
     """
     n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq")).where("freq >= 5")
     open_ = checkpoint(cascade(spark, folder).where("method = 'unresolved'").join(n, "segment").select("segment", "freq", T.normal_name(F.col("segment")).alias("x")))
-    scored = _scored(spark, folder, open_)
+    scored = _scored(spark, folder, open_, 3)
     best = Window.partitionBy("segment").orderBy(F.desc("score"), "override_id")
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 3").select("segment", "freq", "rank", "override_id", F.round("score", 6).alias("score"))
 
@@ -198,51 +210,49 @@ def short_labels(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("segment", T.cut_words(t, 30).alias("label"))
 
 
-def _grams(text):
-    """The distinct runs of four characters of a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(4))))
-
-
 def _place(text):
     return F.lower(T.strip(F.element_at(F.split(text, ","), -1)))
 
 
-def _scored(spark: SparkSession, folder: str, open_: DataFrame) -> DataFrame:
-    """Rows (segment, override_id, freq, score): affiliations against known names of the same country.
+def _scored(spark: SparkSession, folder: str, open_: DataFrame, k: int) -> DataFrame:
+    """Rows (segment, override_id, freq, score): affiliations with at least the k most similar of all known names of their country.
 
-    Of those, the ones that share a run of four characters that is among the name's
-    six rarest; a name of the same spelling but for an error or two always does.
+    Distinct spellings meet the country's distinct names block by block; names are left
+    out only where an upper bound of their ratio is below the k-th best. An affiliation
+    without any name has one row without override_id and score.
     """
-    place = table(spark, folder, "manual_overrides").select("override_id", _place(F.col("raw_string")).alias("place"))
-    names = _names(spark, folder).withColumnRenamed("form", "y").join(place, "override_id")
-    grams = names.select("override_id", "y", "place", F.explode(_grams(F.col("y"))).alias("g"))
-    df = grams.groupBy("place", "g").agg(F.count("*").alias("df"))
-    rare = grams.join(df, ["place", "g"]).withColumn("r", F.row_number().over(Window.partitionBy("override_id", "y").orderBy("df", "g"))).where("r <= 6").select("override_id", "y", "place", "g")
-    probes = open_.select("segment", "freq", "x", _place(F.col("segment")).alias("place"), F.explode(_grams(F.col("x"))).alias("g"))
-    cand = probes.join(rare, ["place", "g"]).select("segment", "freq", "x", "override_id", "y").distinct()
-    return cand.mapInArrow(_partial, "segment string, override_id bigint, freq bigint, score double")
+    place = _place(F.col("raw_string"))
+    names = table(spark, folder, "manual_overrides").select(T.normal_name(F.regexp_replace("raw_string", ",.*", " ")).alias("y"), place.alias("place"), "override_id")
+    names = names.where("length(y) > 10").groupBy("place", "y").agg(F.min("override_id").alias("override_id"))
+    open_ = open_.withColumn("place", _place(F.col("segment")))
+    texts = open_.select("place", "x").distinct()
+
+    def blocks(df: DataFrame, item, name: str) -> DataFrame:
+        n = df.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+        return df.join(n, "place").groupBy("place", F.pmod(F.xxhash64(*df.columns), F.col("n")).alias(f"{name}_block")).agg(F.collect_list(item).alias(name))
+
+    pairs = blocks(texts, F.col("x"), "texts").join(blocks(names, F.struct("y", "override_id"), "names"), "place")
+    pairs = pairs.repartition(partitions(spark), "place", "texts_block", "names_block").select("place", "texts", "names")
+    best = pairs.mapInArrow(_best(k), "x string, place string, override_id bigint, score double")
+    return open_.join(best, ["x", "place"], "left").select("segment", "override_id", "freq", "score")
 
 
 @query()
 def fuzzy_match_top2(spark: SparkSession, folder: str) -> DataFrame:
-    """Unresolved affiliations with their best known name by the best-window ratio, and how it's judged.
+    """Unresolved affiliations with their best known name of their country by the best-window ratio, and how it's judged.
 
     Accepted at 92 or more if it leads the next name by 5; of several perfect ones the
     first is taken and marked so; all else stays unresolved.
     """
     n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq"))
     open_ = checkpoint(cascade(spark, folder).where("method = 'unresolved'").join(n, "segment").select("segment", "freq", T.normal_name(F.col("segment")).alias("x")))
-    scored = checkpoint(_scored(spark, folder, open_))
     order = Window.partitionBy("segment").orderBy(F.desc("score"), "override_id")
-    top = scored.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("segment", "freq").agg(
+    top = _scored(spark, folder, open_, 2).withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("segment", "freq").agg(
         F.max(F.when(F.col("r") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("next"), F.max(F.when(F.col("r") == 1, F.col("override_id"))).alias("first_id")
     )
-    perfect = scored.where("score = 100").groupBy("segment").agg(F.count("*").alias("n_perfect"))
-    j = top.join(perfect, "segment", "left")
     gap = F.col("best") - F.coalesce("next", F.lit(0.0))
-    method = F.when((F.col("best") >= 92) & (gap >= 5), "fuzzy").when((F.col("best") == 100) & (F.col("n_perfect") > 1), "fuzzy_tiebreak_first").when(F.col("best") == 100, "fuzzy_tiebreak").otherwise("unresolved")
-    return j.select("segment", "freq", F.round("best", 6).alias("best"), F.round("next", 6).alias("next"), method.alias("method"), F.when(method != "unresolved", F.col("first_id")).alias("override_id"))
+    method = F.when((F.col("best") >= 92) & (gap >= 5), "fuzzy").when((F.col("best") == 100) & (F.col("next") == 100), "fuzzy_tiebreak_first").when(F.col("best") == 100, "fuzzy_tiebreak").otherwise("unresolved")
+    return top.select("segment", "freq", F.round("best", 6).alias("best"), F.round("next", 6).alias("next"), method.alias("method"), F.when(method != "unresolved", F.col("first_id")).alias("override_id"))
 
 
 @query(rf"""WITH {SEGMENTS}, d AS (SELECT DISTINCT segment FROM seg WHERE regexp_matches(segment, '(^|,)\s*\p{{Lu}}{{5,10}}\s*,')), a AS (SELECT segment, upper(regexp_extract(segment, '(?:^|,)\s*(\p{{Lu}}{{5,10}})\s*,', 1)) AS acronym FROM d),

@@ -104,6 +104,52 @@ def test_set_and_partial_ratio():
     assert records.partial_ratio("", "") == 100
 
 
+def test_best_partial_finds_the_best():
+    rng = random.Random(2)
+    text = lambda low, high: "".join(rng.choices("abcde é", k=rng.randint(low, high)))
+    pairs = [(text(0, 70), text(0, 90)) for _ in range(300)]
+    assert records.partial_ratios(pairs) == [records.partial_ratio(*p) for p in pairs]
+    names = sorted({text(1, 70) for _ in range(60)})
+    texts = [text(0, 30) + rng.choice(names)[rng.randint(0, 3) :] + text(0, 30) for _ in range(140)]
+    scores = [[records.partial_ratio(x, y) for y in names] for x in texts]
+    for k in (2, 3, 99):
+        for own, got in zip(scores, records.best_partial(texts, names, k)):
+            least = sorted(own)[-min(k, len(names))]
+            assert sorted(got) == sorted((v, j) for j, v in enumerate(own) if v >= least)
+
+
+def test_affiliations_meet_all_names_of_their_country(spark, tmp_path, monkeypatch):
+    from marula.plans import affiliations
+
+    monkeypatch.setattr(affiliations, "BLOCK", 7)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abdeiklmnorstu", k=rng.randint(4, 9)))
+    names = [f"{word().title()} {rng.choice(['Institute of', 'University of', 'Hospital'])} {word().title()}" for _ in range(30)]
+    overrides = [(i, f"{y}, {rng.choice(['Kenya', 'Togo'])}", f"r{i}") for i, y in enumerate(names)] + [(40, f"{names[0]}, Kenya", "r"), (41, f"{names[0]}, Togo", "r")]
+    spark.createDataFrame(overrides, "override_id bigint, raw_string string, ror_id string").write.parquet(f"{tmp_path}/manual_overrides.parquet")
+    segments = [(f"{word().title()} {y[3:]}, {rng.choice(['Kenya', 'Togo', 'Mali'])}", rng.choice([4, 5, 6])) for y in names for _ in range(2)]
+    rows = [(i, "; ".join([s] * n)) for i, (s, n) in enumerate(segments)]
+    spark.createDataFrame(rows, "row_id bigint, affiliations string").write.parquet(f"{tmp_path}/raw_publications.parquet")
+
+    def best(segment):
+        known = {}
+        for i, raw, _ in overrides:
+            y, place = raw.rsplit(", ", 1)
+            if segment.endswith(place):
+                known[y.lower()] = min(i, known.get(y.lower(), i))
+        plain = segment.lower().replace(",", "")
+        return sorted(((-round(records.partial_ratio(plain, y), 6), i) for y, i in known.items()))
+
+    got = {(r.segment, r["rank"]): (r.override_id, r.score) for r in affiliations.review_queue(spark, str(tmp_path)).collect()}
+    want = {}
+    for s, n in segments:
+        if n >= 5:
+            want.update({(s, k): (i, -v) for k, (v, i) in enumerate(best(s)[:3], 1)} or {(s, 1): (None, None)})
+    assert got == want
+    top = {r.segment: (r.best, r.next) for r in affiliations.fuzzy_match_top2(spark, str(tmp_path)).collect()}
+    assert top == {s: tuple(-v for v, _ in best(s)[:2]) or (None, None) for s, _ in segments}
+
+
 def test_keep_fullest(spark):
     rows = [(1, "a", 2, "3"), (2, "a", 2, "1"), (3, "a", 1, "1,13"), (4, "b", 0, None), (5, "b", 0, "x")]
     df = spark.createDataFrame(rows, "row_id bigint, k string, s int, tags string")
