@@ -19,6 +19,12 @@ def key(t):
     return tuple(sorted("".join(c for c in w if unicodedata.category(c)[0] in "LNM") for w in t.split()))
 
 
+def test_copies_with_separate_accents_are_sorted_as_composed(spark):
+    rows = [(1, "Zebra \u00e9tude field"), (2, "zebra e\u0301tude field"), (3, "field: e\u0301tude ZEBRA"), (4, "zebra etude field")]
+    df = spark.createDataFrame(rows, "row_id bigint, title string")
+    assert [tuple(r) for r in format_copies.collapse_copies(df, "row_id", ["title"]).collect()] == [(1, 3)]
+
+
 def test_copies_against_brute_force(spark):
     rng = random.Random(1)
     words = ["Été", "water", "co-op", "L'eau", "x2", "soil", "Été", "a—b"]
