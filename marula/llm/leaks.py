@@ -116,47 +116,121 @@ class SuffixAutomaton:
         return out
 
 
-def _stream(passages: list[tuple[int, str]], min_words: int, max_cover: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: A document on its way through the blocks: items and longest matches by turns, starts and ends of spans of words by turns.
+_PASSED = "_id bigint, text string, hits array<bigint>, spans array<bigint>"
+
+
+def _joining(passages: list[tuple[int, str]]):
+    """Joins words parted at a line's end where the passages know them joined."""
+
+    def ready():
+        known = {w for _, p in passages for w in words(p)}
+
+        def joined(m: re.Match) -> str:
+            return m[1] + m[2] + "\n" if (m[1] + m[2]).lower() in known else m[0]
+
+        def step(doc: list) -> None:
+            if "\n" in doc[1] and _parted.search(doc[1]):
+                doc[1] = _parted.sub(joined, doc[1])
+
+        return step
+
+    return ready
+
+
+def _matching(passages: list[tuple[int, str]], min_words: int):
+    """Adds the items and spans of words that the passages share with a document."""
+
+    def ready():
         sam = SuffixAutomaton(((i, words(p)) for i, p in passages), min_words)
         known = sam.number.get
 
-        def joined(m: re.Match) -> str:
-            return m[1] + m[2] + "\n" if known((m[1] + m[2]).lower()) is not None else m[0]
+        def step(doc: list) -> None:
+            if not doc[1].isascii():
+                doc[1] = _unseen.sub("", doc[1])
+            items: dict[int, int] = {}
+            covered: list[list[int]] = []
+            for at, n, top in sam.matches([known(w, -1) for w in _word.findall(doc[1].lower())]):
+                for i in sam.items[top]:
+                    items[i] = max(items.get(i, 0), n)
+                start = at - n + 1
+                if covered and start <= covered[-1][1]:
+                    covered[-1][1] = at + 1
+                else:
+                    covered.append([start, at + 1])
+            doc[2] += [x for item in items.items() for x in item]
+            doc[3] += [x for span in covered for x in span]
+
+        return step
+
+    return ready
+
 
-        for b in batches:
+def _spots(text: str) -> list[tuple[int, int]]:
+    """Where the words of the lower-cased text stand in the text, also if lower case is longer."""
+    low = text.lower()
+    spots = [m.span() for m in _word.finditer(low)]
+    if len(low) != len(text):
+        origin = [i for i, c in enumerate(text) for _ in c.lower()]
+        spots = [(origin[s], origin[e - 1] + 1) for s, e in spots]
+    return spots
+
+
+def _steps(steps: list):
+    """Documents through one or more steps."""
+
+    def run(docs: Iterator[list[list]]) -> Iterator[list[list]]:
+        own = [ready() for ready in steps]
+        for batch in docs:
+            for doc in batch:
+                for step in own:
+                    step(doc)
+            yield batch
+
+    return run
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    for b in batches:
+        yield [list(x) for x in zip(*(b.column(c).to_pylist() for c in ("_id", "text", "hits", "spans")))]
+
+
+def _passing(steps: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        for docs in _steps(steps)(_read(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in docs], t) for k, t in enumerate(kinds)], ["_id", "text", "hits", "spans"])
+
+    return run
+
+
+def _cutting(steps: list, max_cover: float):
+    """The last steps, then a row for each item with what all blocks' spans together leave of the document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs in _steps(steps)(_read(batches)):
             cols: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text in zip(b.column("_id").to_pylist(), b.column("text").to_pylist()):
-                if "\n" in text and _parted.search(text):
-                    text = _parted.sub(joined, text)
-                if not text.isascii():
-                    text = _unseen.sub("", text)
-                low = text.lower()
-                numbers = [known(w, -1) for w in _word.findall(low)]
-                found = sam.matches(numbers)
-                if not found:
+            for doc, text, hits, spans in docs:
+                if not hits:
                     continue
-                items: dict[int, int] = {}
                 covered: list[list[int]] = []
-                for at, n, top in found:
-                    for i in sam.items[top]:
-                        items[i] = max(items.get(i, 0), n)
-                    start = at - n + 1
-                    if covered and start <= covered[-1][1]:
-                        covered[-1][1] = at + 1
+                for s, e in sorted(zip(spans[::2], spans[1::2])):
+                    if covered and s <= covered[-1][1]:
+                        covered[-1][1] = max(covered[-1][1], e)
                     else:
-                        covered.append([start, at + 1])
-                share = sum(e - s for s, e in covered) / len(numbers)
-                spots = [m.span() for m in _word.finditer(text)] if len(low) == len(text) else []
+                        covered.append([s, e])
+                spots = _spots(text)
+                n_words = sum(e - s for s, e in covered)
+                share = n_words / len(spots)
                 clean, end = [], 0
-                for s, e in covered if spots and share <= max_cover else []:
+                for s, e in covered if share <= max_cover else []:
                     clean.append(text[end : spots[s][0]])
                     end = spots[e - 1][1]
                 rest = "".join(clean) + text[end:] if share <= max_cover else None
-                for i, n in sorted(items.items()):
-                    for col, v in zip(cols, (doc, i, n, sum(e - s for s, e in covered), share, rest)):
+                for i, n in sorted(zip(hits[::2], hits[1::2])):
+                    for col, v in zip(cols, (doc, i, n, n_words, share, rest)):
                         col.append(v)
-            kinds = (b.schema.field("_id").type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "longest", "n_words", "share", "clean_text"])
 
     return run
@@ -166,18 +240,19 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """Rows (doc_id, item_id, longest, n_words, share, clean_text), one for each leaked item of a document.
 
     longest: words of the longest match. n_words and share: the document's words
-    inside matches of this block of items. clean_text: the document without them,
+    inside matches of any item. clean_text: the document without them,
     null if they cover more than max_cover of it.
     """
     usable = items.where(F.col(passage).isNotNull() & F.col(item_id).isNotNull())
     usable = usable.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p"))
     size = usable.agg(F.sum(F.size(F.split("p", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-int(size) // WORDS))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text"))
-    out = None
-    for k in range(blocks):
-        part = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        passages = [(r.i, r.p) for r in part.collect()]
-        found = rows.mapInArrow(_stream(passages, min_words, max_cover), "doc_id bigint, item_id bigint, longest bigint, n_words bigint, share double, clean_text string")
-        out = found if out is None else out.unionByName(found)
-    return out
+    empty = F.array().cast("array<bigint>")
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text"), empty.alias("hits"), empty.alias("spans"))
+    part = lambda k: [(r.i, r.p) for r in (usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)).collect()]
+    # words are joined by all blocks first, so that all number the same words
+    steps = [*((_joining, (k,)) for k in range(blocks)), *((_matching, (k, min_words)) for k in range(blocks))]
+    last = [make(part(k), *more) for make, (k, *more) in (steps if blocks == 1 else steps[-1:])]
+    for make, (k, *more) in [] if blocks == 1 else steps[:-1]:
+        rows = rows.mapInArrow(_passing([make(part(k), *more)]), _PASSED)
+    return rows.mapInArrow(_cutting(last, max_cover), "doc_id bigint, item_id bigint, longest bigint, n_words bigint, share double, clean_text string")

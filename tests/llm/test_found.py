@@ -297,6 +297,19 @@ def test_find_leaks(spark, monkeypatch):
     assert leaks.find_leaks(df, "doc_id", "text", it.limit(0), "item_id", "passage").count() == 0
 
 
+def test_all_leaks_are_cut_in_any_text_and_number_of_blocks(spark, monkeypatch):
+    one, two = ([f"{c}{chr(97 + i)}word" for i in range(14)] for c in "xy")
+    items = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id bigint, passage string")
+    rest = " ".join(f"free{chr(97 + i)}" for i in range(20))
+    texts = [(1, f"\u0130zmir {rest} {' '.join(one)} end"), (2, f"{rest} {' '.join(one)} mid {' '.join(two)} {rest}"), (3, f"{' '.join(one)} mid {' '.join(two)}"), (4, rest)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = {(1, 1, f"\u0130zmir {rest}  end"), *((2, i, f"{rest}  mid  {rest}") for i in (1, 2)), (3, 1, None), (3, 2, None)}
+    for size in (leaks.WORDS, 7, 5):
+        monkeypatch.setattr(leaks, "WORDS", size)
+        found = leaks.find_leaks(df, "doc_id", "text", items, "item_id", "passage").collect()
+        assert {(r.doc_id, r.item_id, r.clean_text) for r in found} == want and len(found) == 5
+
+
 # problem 9
 
 
