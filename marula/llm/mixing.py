@@ -5,7 +5,8 @@ Texts are aggregated by their set of sources (the membership pattern), which lea
 a small flow network: tokens run from a pattern, once for free and again at a cost
 that rises with every repetition, to the sources it belongs to, and on to their
 quotas. The largest total at which every reachable source meets its target share is
-found by maximum flow, and its cheapest routing by minimum-cost flow. Then the texts
+that of the source whose capacity is used up first, and the cheapest routing of it is
+found by minimum-cost flow, level of repetition by level. Then the texts
 of each pattern, in a seeded random order, are laid on a line as often as the flow
 asks, and each source takes its stretch of that line.
 
@@ -36,7 +37,6 @@ from marula.session import checkpoint
 
 #: Most membership patterns, and texts of one bucket on average.
 PATTERNS, BUCKET = 5_000, 5_000
-DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that public vocabulary parts text before its merges. Fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -85,90 +85,128 @@ def _counting(ranks: bytes):
 
 
 class Flow:
-    """Minimum-cost flow on a small network with integer capacities and costs."""
+    """Maximum flow on a small network with integer capacities, by Dinic's layers; capacity may be added to a flow."""
 
     def __init__(self):
-        self.edges: list[list[int]] = []  # head, capacity left, cost
-        self.out: dict[object, list[int]] = {}
+        self.head: list[int] = []
+        self.left: list[int] = []
+        self.out: list[list[int]] = []
         self.name: dict[object, int] = {}
 
-    def add(self, a: object, b: object, capacity: int, cost: int = 0) -> int:
-        self.edges += [[b, capacity, cost], [a, 0, -cost]]
-        self.out.setdefault(a, []).append(len(self.edges) - 2)
-        self.out.setdefault(b, []).append(len(self.edges) - 1)
-        return len(self.edges) - 2
+    def node(self, key: object) -> int:
+        if key not in self.name:
+            self.name[key] = len(self.out)
+            self.out.append([])
+        return self.name[key]
+
+    def add(self, a: object, b: object, capacity: int) -> int:
+        u, v = self.node(a), self.node(b)
+        self.out[u].append(len(self.head))
+        self.out[v].append(len(self.head) + 1)
+        self.head += [v, u]
+        self.left += [capacity, 0]
+        return len(self.head) - 2
 
     def used(self, edge: int) -> int:
-        return self.edges[edge ^ 1][1]
+        return self.left[edge ^ 1]
 
     def run(self, start: object, end: object) -> int:
-        """Send as much as possible along cheapest paths; the amount."""
-        total = 0
+        """Send as much more as possible; the amount."""
+        s, t, total = self.node(start), self.node(end), 0
+        head, left, out = self.head, self.left, self.out
         while True:
-            cost, by, queue, queued = {start: 0}, {}, deque([start]), {start}
-            while queue:
+            layer = [-1] * len(out)
+            layer[s], queue = 0, deque([s])
+            while queue and layer[t] < 0:
                 u = queue.popleft()
-                queued.discard(u)
-                for e in self.out.get(u, ()):
-                    v, left, c = self.edges[e]
-                    if left and cost[u] + c < cost.get(v, float("inf")):
-                        cost[v], by[v] = cost[u] + c, e
-                        if v not in queued:
-                            queued.add(v)
-                            queue.append(v)
-            if end not in cost:
+                for e in out[u]:
+                    if left[e] and layer[head[e]] < 0:
+                        layer[head[e]] = layer[u] + 1
+                        queue.append(head[e])
+            if layer[t] < 0:
                 return total
-            path, v = [], end
-            while v != start:
-                path.append(by[v])
-                v = self.edges[by[v] ^ 1][0]
-            push = min(self.edges[e][1] for e in path)
-            for e in path:
-                self.edges[e][1] -= push
-                self.edges[e ^ 1][1] += push
-            total += push
+            at, path, u = [0] * len(out), [], s
+            while True:
+                if u == t:
+                    push = min(left[e] for e in path)
+                    for k in range(len(path) - 1, -1, -1):
+                        left[path[k]] -= push
+                        left[path[k] ^ 1] += push
+                    total += push
+                    first = next(k for k, e in enumerate(path) if not left[e])
+                    u = head[path[first] ^ 1]
+                    del path[first:]
+                    continue
+                while at[u] < len(out[u]):
+                    e = out[u][at[u]]
+                    if left[e] and layer[head[e]] == layer[u] + 1:
+                        path.append(e)
+                        u = head[e]
+                        break
+                    at[u] += 1
+                else:
+                    if u == s:
+                        break
+                    u = head[path.pop() ^ 1]
+                    at[u] += 1
+
+
+def largest_total(capacity: dict[str, int], shares: dict[str, float]) -> int:
+    """The largest total of which every source has its whole share in whole tokens.
+
+    A source's uses of a text don't take any from another source, so each source has a
+    capacity of its own and the one that is first used up decides.
+    """
+    whole = sum(shares.values())
+    size = min(int((capacity[s] + 1) * whole / t) for s, t in shares.items())
+    while any(int(size * t / whole) > capacity[s] for s, t in shares.items()):
+        size -= 1
+    return size
 
 
 def route(patterns: dict[tuple[str, ...], int], targets: dict[str, float], repeats: dict[str, int], total: int | None = None) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
-    """The total and the tokens that each source takes of each pattern.
+    """The total and the tokens that each source takes of each pattern, at least cost of repetition.
 
     Without a total, the largest one at which all sources with any text meet their
     share; with one, sources that can't meet it give what they have.
+
+    The k-th use of a pattern's tokens costs k * k, the same for all patterns, and only
+    the arcs from the start cost anything. A cheapest augmenting path never returns to
+    the start, so it costs what its first arc does: the cheapest flow is found level by
+    level, by adding each level's capacity and sending as much as goes.
     """
     reach = sorted({s for p in patterns for s in p if targets.get(s, 0) > 0 and repeats.get(s, 0) > 0})
     if not reach:
         return 0, {}
     whole = sum(targets[s] for s in reach)
-
-    def network(size: int) -> tuple[Flow, dict, int]:
-        flow, arcs = Flow(), {}
-        for p, n in patterns.items():
-            for k in range(sum(repeats.get(s, 0) for s in p)):
-                flow.add("start", ("p", p), n, k * k)
-            for s in p:
-                if s in reach:
-                    arcs[p, s] = flow.add(("p", p), ("s", s), n * repeats[s])
-        quotas = {s: int(size * targets[s] / whole) for s in reach}
-        for s, q in quotas.items():
-            flow.add(("s", s), "end", q)
-        return flow, arcs, sum(quotas.values())
-
     if total is None:
-        low, high = 0, sum(n * sum(repeats.get(s, 0) for s in p) for p, n in patterns.items()) + 1
-        while high - low > 1:
-            size = (low + high) // 2
-            flow, _, asked = network(size)
-            low, high = (size, high) if flow.run("start", "end") == asked else (low, size)
-        total = low
-    flow, arcs, _ = network(total)
-    flow.run("start", "end")
+        total = largest_total({s: sum(n for p, n in patterns.items() if s in p) * repeats[s] for s in reach}, {s: targets[s] for s in reach})
+    flow, arcs, levels = Flow(), {}, {}
+    for p, n in patterns.items():
+        own = [s for s in p if s in reach]
+        if own:
+            levels[p] = flow.add("start", ("p", p), 0), n, sum(repeats[s] for s in own)
+            for s in own:
+                arcs[p, s] = flow.add(("p", p), ("s", s), n * repeats[s])
+    quotas = {s: int(total * targets[s] / whole) for s in reach}
+    for s, q in quotas.items():
+        flow.add(("s", s), "end", q)
+    open_ = sum(quotas.values())
+    for k in range(max(most for _, _, most in levels.values())):
+        for edge, n, most in levels.values():
+            if k < most:
+                flow.left[edge] += n
+        open_ -= flow.run("start", "end")
+        if not open_:
+            break
     return total, {k: flow.used(e) for k, e in arcs.items() if flow.used(e)}
 
 
-def select_mix(docs: DataFrame, targets: DataFrame, seed: int = 42, total: int | None = None, ranks_file: str = DEFAULT_RANKS) -> tuple[DataFrame, DataFrame]:
+def select_mix(docs: DataFrame, targets: DataFrame, ranks_file: str, seed: int = 42, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The selection (doc_id, source, n_uses, n_tokens) and the shares it reaches.
 
-    docs: doc_id, source, text. targets: source, target_share, max_repeats. The shares
+    docs: doc_id, source, text. targets: source, target_share, max_repeats. ranks_file: the
+    merge ranks of a public byte-pair tokenizer, one base64 token and its rank a line. The shares
     have one row (source, target_share, max_repeats, n_docs, n_tokens, reached_share,
     n_repeats) for each source with a target; n_repeats is the most uses of one text.
     """

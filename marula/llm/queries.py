@@ -91,15 +91,19 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: The public tokenizer whose tokens are counted; lies outside the repository.
+RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
     """The selected documents with their source, uses and tokens, and the share that their source reaches."""
-    selection, shares = mixing.select_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    selection, shares = mixing.select_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), RANKS_FILE)
     return selection.join(F.broadcast(shares.select("source", "target_share", "reached_share")), "source")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and reached share of each source."""
-    return mixing.select_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return mixing.select_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), RANKS_FILE)[1]
 
 
 LEVELS = ("plain", "general", "advanced", "specialist")

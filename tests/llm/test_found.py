@@ -1,6 +1,7 @@
 """The problems' operators against brute force and small hand-made cases."""
 
 import random
+import time
 import unicodedata
 from itertools import combinations
 
@@ -317,7 +318,7 @@ def test_token_counts_equal_the_tokenizer():
     tiktoken = pytest.importorskip("tiktoken")
     import base64
 
-    with open(mixing.DEFAULT_RANKS, "rb") as f:
+    with open(queries.RANKS_FILE, "rb") as f:
         raw = f.read()
     enc = tiktoken.Encoding("t", pat_str=mixing.SPLIT, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, special_tokens={})
     count = mixing.token_counter(raw)
@@ -328,34 +329,48 @@ def test_token_counts_equal_the_tokenizer():
         assert count(t) == len(enc.encode_ordinary(t)), repr(t)
 
 
-def test_flow_is_cheapest():
+def test_route_is_cheapest():
     rng = random.Random(6)
-    for _ in range(60):
-        p = {("a",): rng.randint(1, 3), ("b",): rng.randint(1, 3), ("a", "b"): rng.randint(0, 3)}
-        want = {"a": rng.randint(0, 3), "b": rng.randint(0, 3)}
-        flow = mixing.Flow()
-        for k, n in p.items():
-            for copy in range(3):
-                flow.add("s", k, n, copy * copy)
-            for x in k:
-                flow.add(k, x, 99)
-        for x, q in want.items():
-            flow.add(x, "t", q)
-        sent = flow.run("s", "t")
-        cost = sum(flow.used(2 * i) * flow.edges[2 * i][2] for i in range(len(flow.edges) // 2))
+    found = 0
+    for _ in range(80):
+        p = {("a",): rng.randint(1, 3), ("b",): rng.randint(1, 3), ("a", "b"): rng.randint(1, 3)}
+        repeats = {"a": rng.randint(1, 3), "b": rng.randint(1, 2)}
+        total = rng.randint(0, 12)
+        _, flows = mixing.route(p, {"a": 0.5, "b": 0.5}, repeats, total)
+        quota = total // 2
 
         def price(n, used):
-            return sum((i // n) ** 2 for i in range(used)) if n else (0 if not used else 10**9)
+            return sum((i // n) ** 2 for i in range(used))
+
+        def cost(xa, xb):
+            return price(p["a",], quota - xa) + price(p["b",], quota - xb) + price(p["a", "b"], xa + xb)
+
+        fits = [cost(xa, xb) for xa in range(quota + 1) for xb in range(quota + 1) if max(xa - p["a", "b"] * repeats["a"], xb - p["a", "b"] * repeats["b"], quota - xa - p["a",] * repeats["a"], quota - xb - p["b",] * repeats["b"]) <= 0]
+        if fits:
+            found += 1
+            assert [sum(n for (_, s), n in flows.items() if s == x) for x in "ab"] == [quota, quota]
+            assert cost(flows.get((("a", "b"), "a"), 0), flows.get((("a", "b"), "b"), 0)) == min(fits)
+    assert found > 40
+
 
-        best = None
-        for xa in range(want["a"] + 1):
-            for xb in range(want["b"] + 1):
-                ua, ub = want["a"] - xa, want["b"] - xb
-                if ua <= 3 * p["a",] and ub <= 3 * p["b",] and xa + xb <= 3 * p["a", "b"]:
-                    c = price(p["a",], ua) + price(p["b",], ub) + price(p["a", "b"], xa + xb)
-                    best = c if best is None else min(best, c)
-        if best is not None:
-            assert sent == sum(want.values()) and cost == best
+def test_largest_total_against_search():
+    rng = random.Random(3)
+    for _ in range(200):
+        capacity = {s: rng.randint(0, 60) for s in "abc"}
+        shares = {s: rng.choice([0.1, 0.3, 0.25, 1 / 3]) for s in "abc"}
+        fits = [n for n in range(2000) if all(int(n * t / sum(shares.values())) <= capacity[s] for s, t in shares.items())]
+        assert mixing.largest_total(capacity, shares) == max(fits)
+
+
+def test_many_patterns_are_routed_in_time():
+    rng = random.Random(1)
+    names = [f"s{i:02d}" for i in range(13)]
+    patterns = {}
+    while len(patterns) < mixing.PATTERNS:
+        patterns[tuple(sorted(rng.sample(names, rng.randint(1, 13))))] = rng.randint(1, 10**6)
+    began = time.perf_counter()
+    total, flows = mixing.route(patterns, {s: rng.random() for s in names}, {s: rng.randint(1, 5) for s in names})
+    assert total > 0 and flows and time.perf_counter() - began < 120
 
 
 def test_mix_keeps_shares_and_caps(spark, monkeypatch):
@@ -368,7 +383,7 @@ def test_mix_keeps_shares_and_caps(spark, monkeypatch):
     docs += [(9000, None, "x"), (9001, "big", None), (9002, "big", ""), (9003, "unlisted", "y"), (9004, docs[0][1], docs[0][2])]
     df = spark.createDataFrame([(*d, "c") for d in docs], "doc_id bigint, source string, text string, key string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.2, 1), ("small", 0.2, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
-    selection, shares = mixing.select_mix(df, targets)
+    selection, shares = mixing.select_mix(df, targets, queries.RANKS_FILE)
     rows = {r.source: r for r in shares.collect()}
     assert rows["absent"].n_docs == 0 and rows["absent"].reached_share == 0
     for s, t in (("big", 0.5), ("mid", 0.2), ("small", 0.2)):
@@ -377,11 +392,11 @@ def test_mix_keeps_shares_and_caps(spark, monkeypatch):
     assert len({(r.doc_id, r.source) for r in picked}) == len(picked)
     of = {d[0]: d for d in docs}
     assert all(of[r.doc_id][1] == r.source for r in picked)
-    again = {tuple(r) for r in mixing.select_mix(df, targets)[0].collect()}
+    again = {tuple(r) for r in mixing.select_mix(df, targets, queries.RANKS_FILE)[0].collect()}
     assert again == {tuple(r) for r in picked}
-    asked, total = mixing.select_mix(df, targets, total=500)
+    asked, total = mixing.select_mix(df, targets, queries.RANKS_FILE, total=500)
     assert sum(r.n_tokens for r in total.collect()) == pytest.approx(500, rel=0.2)
-    none, empty = mixing.select_mix(df.limit(0), targets)
+    none, empty = mixing.select_mix(df.limit(0), targets, queries.RANKS_FILE)
     assert none.count() == 0 and {r.n_docs for r in empty.collect()} == {0}
 
 
