@@ -2,13 +2,14 @@
 
 Method: blocked Gram matrix. Items are counted, those too rare for any pair that
 is asked for drop out (a pair is never more frequent than its items), and the
-rest are numbered. Record blocks become binary matrices, item block by item block,
-and the transpose-products of the blocks are summed, first within a task and then
-over all tasks. Counts are then held against the product of the marginals.
+rest are numbered. Record blocks become sparse binary matrices, item block by item
+block, and the sparse transpose-products of the blocks are summed, first within a task
+and then over all tasks. Counts are then held against the product of the marginals.
 
 With a support of share s of n records and records of k items on average there
-can't be more than k / s such items, so their list has a proven bound, whatever
-the number of records. No pairs of a record are ever written out.
+can't be more than k / s such items, so their list has a bound, whatever the number
+of records. It's counted all the same: more than ``LISTED`` items (as with no share
+asked) raise an error before any is sent out. No pairs of a record are ever written out.
 
 Defined results: repeated items of a record count once; null and empty records
 don't count; ties don't matter, as every pair over the limits comes out.
@@ -23,13 +24,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Records of one block and items of one block.
-RECORDS, ITEMS = 4096, 256
+#: Records of one block, items of one block, and most items over the support limit, which all tasks hold.
+RECORDS, ITEMS, LISTED = 4096, 256, 2_000_000
+#: Products that are expanded at once, and counts of one pair of item blocks that are held before they are summed up.
+STEP, HELD = 2_000_000, 4_000_000
+
+
+class _Counts:
+    """Sums of sparse counts by key."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.held += len(keys)
+        if self.held > HELD:
+            self.parts = [self.total()]
+            self.held = len(self.parts[0][0])
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([c for _, c in self.parts])).astype(np.int64)
+
+
+def _product(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], n_rows: int, into: _Counts) -> None:
+    """Add the transpose-product of two sparse binary blocks, each given by the rows (ascending) and columns of its ones."""
+    rows, left = x
+    ends = np.searchsorted(y[0], np.arange(n_rows + 1))
+    width = (ends[1:] - ends[:-1])[rows]
+    upto = np.cumsum(width)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, "right")))
+        w = width[at:to]
+        first = np.repeat(ends[rows[at:to]] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
+        keys, counts = np.unique(np.repeat(left[at:to], w) * ITEMS + y[1][first], return_counts=True)
+        into.add(keys, counts)
+        at = to
 
 
 def _gram(ids: dict[tuple[str, str], int], sizes: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int, int], np.ndarray] = {}
+        sums: dict[tuple[str, int, int], _Counts] = {}
         held: dict[str, list[list[int]]] = {f: [] for f in sizes}
 
         def flush(f: str) -> None:
@@ -38,38 +76,31 @@ def _gram(ids: dict[tuple[str, str], int], sizes: dict[str, int]):
                 return
             rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             cols = np.fromiter((i for x in lists for i in x), np.int64, len(rows))
-            blocks = {}
-            for k in range(-(-sizes[f] // ITEMS)):
-                at = (cols >= k * ITEMS) & (cols < (k + 1) * ITEMS)
-                if at.any():
-                    x = np.zeros((len(lists), min(ITEMS, sizes[f] - k * ITEMS)), np.float32)
-                    x[rows[at], cols[at] - k * ITEMS] = 1
-                    blocks[k] = (x, x.any(axis=1))
-            for a, (x, has_x) in blocks.items():
-                for b, (y, has_y) in blocks.items():
-                    if a <= b and (both := has_x & has_y).any():
-                        g = (x[both].T @ y[both]).astype(np.int64)
-                        sums[f, a, b] = sums[f, a, b] + g if (f, a, b) in sums else g
+            own = cols // ITEMS
+            blocks = {int(k): (rows[own == k], cols[own == k] - k * ITEMS) for k in np.unique(own)}
+            for a, x in blocks.items():
+                for b, y in blocks.items():
+                    if a <= b:
+                        _product(x, y, len(lists), sums.setdefault((f, a, b), _Counts()))
             held[f] = []
 
         for batch in batches:
             for f, items in zip(batch.column("field_name").to_pylist(), batch.column("items").to_pylist()):
                 own = {i for x in items if (i := ids.get((f, x))) is not None}
                 if len(own) > 1:
-                    held[f].append(list(own))
+                    held[f].append(sorted(own))
                     if len(held[f]) >= RECORDS:
                         flush(f)
         for f in sizes:
             flush(f)
-        for (f, a, b), g in sums.items():
-            i, j = np.nonzero(g)
-            left, right = i + a * ITEMS, j + b * ITEMS
+        for (f, a, b), counts in sums.items():
+            if not counts.parts:
+                continue
+            keys, n = counts.total()
+            left, right = keys // ITEMS + a * ITEMS, keys % ITEMS + b * ITEMS
             up = left < right
             if up.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f] * int(up.sum())), pa.array(left[up]), pa.array(right[up]), pa.array(g[i[up], j[up]])],
-                    ["field_name", "a", "b", "n"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([f] * int(up.sum())), pa.array(left[up]), pa.array(right[up]), pa.array(n[up])], ["field_name", "a", "b", "n"])
 
     return run
 
@@ -89,7 +120,10 @@ def frequent_pairs(baskets: DataFrame, min_rows: int, min_share: float, min_lift
     bound = F.lit(None).cast("bigint")
     for f, n in least.items():
         bound = F.when(F.col("field_name") == f, F.lit(n)).otherwise(bound)
-    rows = sorted((r.field_name, r.item, r.n) for r in counts.where(F.col("n") >= bound).collect())
+    found = counts.where(F.col("n") >= bound).limit(LISTED + 1).collect()
+    if len(found) > LISTED:
+        raise ValueError(f"more than {LISTED} items are over the support limit; ask for a higher share")
+    rows = sorted((r.field_name, r.item, r.n) for r in found)
     ids, sizes, names = {}, {}, {}
     for f, item, n in rows:
         i = sizes.get(f, 0)

@@ -135,6 +135,8 @@ def test_a_misspelling_joins_one_name_only():
 def test_pairs_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cooccurrence, "ITEMS", 4)
     monkeypatch.setattr(cooccurrence, "RECORDS", 16)
+    monkeypatch.setattr(cooccurrence, "STEP", 7)
+    monkeypatch.setattr(cooccurrence, "HELD", 20)
     rng = random.Random(3)
     rows = []
     for f in ("f", "g"):
@@ -155,6 +157,9 @@ def test_pairs_against_brute_force(spark, monkeypatch):
                 want.add((f, a, b, na, nb, nab, n))
     assert got == want and any(x[1:3] == ("pair", "twin") for x in got)
     assert cooccurrence.frequent_pairs(df.limit(0), 8, 0.002, 4).count() == 0
+    monkeypatch.setattr(cooccurrence, "LISTED", 3)
+    with pytest.raises(ValueError):
+        cooccurrence.frequent_pairs(df, 1, 0, 1)
 
 
 def test_p4_against_brute_force(spark, data):
