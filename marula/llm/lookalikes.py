@@ -5,8 +5,13 @@ the Latin letter it looks like. The intersection over the token says which scrip
 the whole token could be written in. A token that mixes scripts but could be all
 Latin is a mixed-script confusable; one wholly in another script that could be all
 Latin is a whole-script confusable, unless a neighbouring token is truly in that
-script. Both are spelled in Latin. Full-width forms, joined letters, separate
-accents, invisible characters and odd blanks are then brought to their ordinary form.
+script. Both are spelled in Latin. A mixed token that can't be Latin but could be all
+in another script is spelled in that one. Full-width forms, joined letters, separate
+accents, invisible characters, odd blanks and styled letters (mathematical, circled,
+numerals, phonetic letters among plain ones) are brought to their ordinary form.
+
+Letters are compared for Latin against Cyrillic, Greek, Armenian, Cherokee, Coptic and
+Lisu. Greek small letters in use as symbols (as in TNF-alpha) are left as they are.
 
 A filter inside the JVM lets only values with a suspicious character reach Python.
 
@@ -18,7 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,11 +32,42 @@ from pyspark.sql import functions as F
 from marula.operators.segmentation import field_cells
 
 #: Letters of other scripts and the Latin letters they can't be told from. Fixed values.
-CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТХУЅІЈԚԜ", "aeopcyxsijhdqwlABEKMHOPCTXYSIJQW"))
+CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏѵүАВЕКМНОРСТХУЅІЈԌԚԜѴҮ", "aeopcyxsijhdqwlvyABEKMHOPCTXYSIJGQWVY"))
 GREEK = dict(zip("ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ovcjABEZHIKMNOPTYXC"))
-ARMENIAN = dict(zip("օոսհց", "onuhg"))
-LOOKS = {**CYRILLIC, **GREEK, **ARMENIAN}
-LATIN_LOOKS = {lat: s for s, d in (("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", ARMENIAN)) for lat in d.values()}
+ARMENIAN = dict(zip("օոսհցզՕՍՏ", "onuhgqOUS"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᎩᏧᏏᏂ", "ABCDEGHiJKLMPRSTVWZydbh"))
+COPTIC = dict(zip("ⲟⲣⲥⲞⲢⲤⲔⲘⲚⲎⲦⲬⲂ", "opcOPCKMNHTXB"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+TABLES = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE, "Coptic": COPTIC, "Lisu": LISU}
+LOOKS = {c: lat for t in TABLES.values() for c, lat in t.items()}
+#: Latin letters of other use (phonetic, small capitals) that look like plain ones. Fixed values.
+PHONETIC = dict(zip("ɡɑᴄᴏᴠᴡᴢꜱ", "gacovwzs"))
+
+
+def _styled() -> dict[str, str]:
+    """Letters of mathematical, circled and numeral forms and the plain ones they stand for, by their decomposition."""
+    out = {}
+    for first, last in ((0x2100, 0x2188), (0x24B6, 0x24E9), (0x1D400, 0x1D7FF), (0x1F130, 0x1F189)):
+        for c in map(chr, range(first, last + 1)):
+            tag, to = unicodedata.decomposition(c).split(" ", 1)[0], unicodedata.normalize("NFKD", c)
+            if to != c and to.isascii() and (to.isalpha() if tag != "<font>" else to.isalnum()) and tag not in ("<super>", "<sub>"):
+                out[c] = to
+    return out
+
+
+STYLED = _styled()
+
+
+def ranges(chars: Iterable[str]) -> str:
+    """Characters as the ranges of a pattern's class."""
+    out: list[list[int]] = []
+    for n in sorted(map(ord, chars)):
+        if out and n == out[-1][1] + 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return "".join(chr(x) if x == y else f"{chr(x)}-{chr(y)}" for x, y in out)
+
 
 WIDE = "！-｠￠-￦"
 JOINED = "ﬀ-ﬆĲĳǄ-ǌǱ-ǳ"
@@ -40,12 +76,13 @@ BLANK_MARKS = "͏ᅟᅠ឴឵᠋-᠎ㅤﾠ︀-️"
 SEEN_MARKS = "؀-؅۝܏࢐࢑࣢"
 SUSPICIOUS = (
     rf"[{WIDE}{JOINED}{BLANK_MARKS}\p{{Mn}}]|[\p{{Cf}}&&[^{SEEN_MARKS}]]|[\p{{Zs}}&&[^ ]]"
-    r"|[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]"
+    r"|[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}\p{IsCoptic}\p{IsLisu}]" + f"|[{ranges((*STYLED, *PHONETIC))}]"
 )
 
 _wide, _joined, _marks = re.compile(f"[{WIDE}]"), re.compile(f"[{JOINED}]"), re.compile(f"[{BLANK_MARKS}]")
 _words = re.compile(r"[^\W\d_]+")
-KINDS = ("full_width", "joined_letters", "separate_accent", "invisible", "space", "other_script")
+#: What is found in a value; the last two are other uses of letters than the ones that stand for Latin letters.
+KINDS = ("full_width", "joined_letters", "separate_accent", "invisible", "space", "other_script", "styled_letter", "latin_in_other")
 
 
 def script(c: str) -> str:
@@ -59,12 +96,14 @@ def scripts(c: str) -> set[str]:
     own = {script(c)}
     if c in LOOKS:
         own.add("Latin")
-    for name, table in (("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", ARMENIAN)):
-        if c in table.values():
-            own.add(name)
+    own.update(name for name, table in TABLES.items() if LOOKS.get(c, c) in _FORMS[name])
     return own
 
 
+#: For each script its letters by the Latin letter they look like.
+_FORMS = {name: {lat: c for c, lat in reversed(table.items())} for name, table in TABLES.items()}
+
+
 def _odd_space(c: str) -> bool:
     return c != " " and unicodedata.category(c) == "Zs"
 
@@ -88,6 +127,9 @@ def consistent(text: str) -> tuple[str, list[str]]:
         elif _wide.match(c):
             found.add("full_width")
             shown.append(unicodedata.normalize("NFKC", c))
+        elif c in STYLED:
+            found.add("styled_letter")
+            shown.append(STYLED[c])
         elif _joined.match(c):
             found.add("joined_letters")
             shown.append(unicodedata.normalize("NFKC", c))
@@ -96,24 +138,37 @@ def consistent(text: str) -> tuple[str, list[str]]:
                 found.add("separate_accent")
             shown.append(c)
     out = unicodedata.normalize("NFC", "".join(shown))
-    if any(c in LOOKS for c in out):
+    if any(c in LOOKS or c in PHONETIC for c in out):
         tokens = list(_words.finditer(out))
         own = [{script(c) for c in m.group()} for m in tokens]
         could = [set.intersection(*(scripts(c) for c in m.group())) for m in tokens]
         parts, at = [], 0
         for i, m in enumerate(tokens):
-            word = m.group()
-            if not any(c in LOOKS for c in word) or "Latin" not in could[i]:
-                continue
-            if "Latin" not in own[i]:
-                # wholly in another script: true if a neighbour, parted by blanks only, can be nothing but that script
-                near = [i - 1] if i and out[tokens[i - 1].end() : m.start()].isspace() else []
-                near += [i + 1] if i + 1 < len(tokens) and out[m.end() : tokens[i + 1].start()].isspace() else []
-                if any("Latin" not in could[j] and own[i] & own[j] for j in near):
-                    continue
-            found.add("other_script")
-            parts += [out[at : m.start()], "".join(LOOKS.get(c, c) for c in word)]
-            at = m.end()
+            word = spelled = m.group()
+            if any(c in LOOKS for c in word):
+                if "Latin" in could[i]:
+                    if "Latin" not in own[i]:
+                        # wholly in another script: true if a neighbour, parted by blanks only, can be nothing but that script
+                        near = [i - 1] if i and out[tokens[i - 1].end() : m.start()].isspace() else []
+                        near += [i + 1] if i + 1 < len(tokens) and out[m.end() : tokens[i + 1].start()].isspace() else []
+                        if any("Latin" not in could[j] and own[i] & own[j] for j in near):
+                            continue
+                    found.add("other_script")
+                    spelled = "".join(LOOKS.get(c, c) for c in word)
+                elif len(own[i]) > 1 and could[i]:
+                    # the rest of the word can be nothing but this script, so its Latin letters stand for that script's
+                    forms = _FORMS[min(could[i])]
+                    found.add("latin_in_other")
+                    spelled = "".join(c if script(c) in could[i] else forms.get(LOOKS.get(c, c), c) for c in word)
+            elif len(own[i]) > 1 and len(could[i]) == 1 and (only := min(could[i])) in _FORMS:
+                found.add("latin_in_other")
+                spelled = "".join(_FORMS[only].get(c, c) for c in word)
+            elif any(c in PHONETIC for c in word) and any(c.isascii() for c in word):
+                found.add("styled_letter")
+                spelled = "".join(PHONETIC.get(c, c) for c in word)
+            if spelled != word:
+                parts += [out[at : m.start()], spelled]
+                at = m.end()
         out = "".join(parts) + out[at:]
     return out, [k for k in KINDS if k in found]
 

@@ -200,6 +200,12 @@ def test_p4_against_brute_force(spark, data):
         ("دراسة ميدانية የመስክ ጥናት 中文", None, []),
         ("tab\tline\nbreak", None, []),
         ("", None, []),
+        ("мoсква", "москва", ["latin_in_other"]),
+        ("щyка", "щука", ["latin_in_other"]),
+        ("Ꭺ𝐁 Ⅳ ɡrowth", "AB IV growth", ["other_script", "styled_letter"]),
+        ("[ɡɑ] and Ⓦater ①", "[ɡɑ] and Water ①", ["styled_letter"]),
+        ("ꓡand ⲟf Տea", "Land of Sea", ["other_script"]),
+        ("ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", None, []),
         ("ｂоth ‍kinds", "both kinds", ["full_width", "invisible", "other_script"]),
     ],
 )
