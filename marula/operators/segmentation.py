@@ -115,8 +115,11 @@ def best_cover(spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return cover[::-1]
 
 
-def splitter(p: Packing, entries: Iterable[str] = ()) -> Callable[[str], list[str]]:
-    """A function that splits one cell of this packing, guided by dictionary entries."""
+def splitter(p: Packing, entries: Iterable[str] = ()) -> Callable[..., list[str]]:
+    """A function that splits one cell of this packing, guided by dictionary entries.
+
+    It takes the cell and, where the entries were looked up elsewhere, their places in it.
+    """
     import ahocorasick
 
     strong, weak = _class(p.strong), _class(p.weak) if p.weak else None
@@ -136,14 +139,10 @@ def splitter(p: Packing, entries: Iterable[str] = ()) -> Callable[[str], list[st
                 a.add_word(e, len(e))
             a.make_automaton()
 
-    def covered(cell: str, cuts: list[tuple[int, int]], automaton) -> list[tuple[int, int]]:
-        lower = cell.lower()
-        if len(lower) != len(cell):
-            return cuts
+    def covered(cell: str, cuts: list[tuple[int, int]], found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
         bounds = every
         spans = []
-        for last, size in automaton.iter(lower):
-            start, end = last - size + 1, last + 1
+        for start, end in found:
             inside = sum(1 for a, b in cuts if start <= a and b <= end)
             if inside:
                 left, right = cell[:start].rstrip(" \t\""), cell[end:].lstrip(" \t\"")
@@ -154,7 +153,7 @@ def splitter(p: Packing, entries: Iterable[str] = ()) -> Callable[[str], list[st
         cover = best_cover(spans)
         return [c for c in cuts if not any(s <= c[0] and c[1] <= e for s, e in cover)]
 
-    def split(cell: str) -> list[str]:
+    def split(cell: str, found: list[tuple[int, int]] | None = None) -> list[str]:
         masked = []
         if '"' in cell:
             masked = [m.span(1) for m in quoted_re.finditer(cell)]
@@ -172,8 +171,10 @@ def splitter(p: Packing, entries: Iterable[str] = ()) -> Callable[[str], list[st
                 if cell[a:b].strip() == "," and (c := (cell.index(",", a), cell.index(",", a) + 1)) not in have:
                     cuts.append(c)
             cuts.sort()
-        if cuts and kind in automata:
-            cuts = covered(cell, cuts, automata[kind])
+        if cuts and found is None and kind in automata:
+            found = places(automata[kind], cell)
+        if cuts and found:
+            cuts = covered(cell, cuts, found)
         pieces, at = [], 0
         for a, b in cuts:
             pieces.append(cell[at:a])
@@ -202,6 +203,12 @@ def splitter(p: Packing, entries: Iterable[str] = ()) -> Callable[[str], list[st
     return split
 
 
+def places(automaton, cell: str) -> list[tuple[int, int]]:
+    """Where the automaton's entries stand in a cell; nowhere if the cell's lower case is of another length."""
+    lower = cell.lower()
+    return [(last - size + 1, last + 1) for last, size in automaton.iter(lower)] if len(lower) == len(cell) else []
+
+
 def split_cells(cells: DataFrame, packings: dict[str, Packing], min_rows: int = 2, dictionary: DataFrame | None = None) -> DataFrame:
     """cells with the column items, an array of the single values of each cell in order.
 
@@ -220,14 +227,14 @@ def split_cells(cells: DataFrame, packings: dict[str, Packing], min_rows: int =
         for r in learned.collect():
             entries.setdefault(r.field_name, []).append(r.entry)
         return cells.mapInArrow(_splitting(packings, entries, schema), schema)
-    # Dictionaries beyond the bound: cut cells and entries to blocks, keep for each cell what any block protects.
-    raise_to = cells.withColumn("spans", F.array().cast("array<struct<s:int,e:int,w:int>>"))
+    # A dictionary beyond the bound goes in blocks, an automaton for each; a cell keeps the places that any of them finds.
+    spotted = cells.withColumn("spans", F.array().cast("array<int>"))
     for k in range(blocks):
         part: dict[str, list[str]] = {}
         for r in learned.where(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == k).collect():
             part.setdefault(r.field_name, []).append(r.entry)
-        raise_to = raise_to.mapInArrow(_spotting(packings, part, raise_to.schema), raise_to.schema)
-    return raise_to.mapInArrow(_splitting(packings, {}, schema), schema)
+        spotted = spotted.mapInArrow(_spotting(part, spotted.schema), spotted.schema)
+    return spotted.mapInArrow(_splitting(packings, {}, schema), schema)
 
 
 def _splitting(packings: dict[str, Packing], entries: dict[str, list[str]], schema: T.StructType):
@@ -238,11 +245,8 @@ def _splitting(packings: dict[str, Packing], entries: dict[str, list[str]], sche
         for b in batches:
             fields, cells = b.column("field_name").to_pylist(), b.column("cell").to_pylist()
             if "spans" in b.schema.names:
-                # entries found by any block guide the split of their own cell only
-                items = [
-                    [] if c is None else (splitter(packings[f], [c.lower()[x["s"] : x["e"]] for x in s])(c) if s else split[f](c))
-                    for f, c, s in zip(fields, cells, b.column("spans").to_pylist())
-                ]
+                spans = b.column("spans").to_pylist()
+                items = [[] if c is None else split[f](c, list(zip(s[::2], s[1::2]))) for f, c, s in zip(fields, cells, spans)]
             else:
                 items = [[] if c is None else split[f](c) for f, c in zip(fields, cells)]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(items, pa.list_(pa.string()))], [*names, "items"])
@@ -250,7 +254,7 @@ def _splitting(packings: dict[str, Packing], entries: dict[str, list[str]], sche
     return run
 
 
-def _spotting(packings: dict[str, Packing], entries: dict[str, list[str]], schema: T.StructType):
+def _spotting(entries: dict[str, list[str]], schema: T.StructType):
     names = [f.name for f in schema.fields if f.name != "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,12 +268,8 @@ def _spotting(packings: dict[str, Packing], entries: dict[str, list[str]], schem
             a.make_automaton()
         for b in batches:
             rows = zip(b.column("field_name").to_pylist(), b.column("cell").to_pylist(), b.column("spans").to_pylist())
-            spans = [
-                s if c is None or f not in found else s + [{"s": e - n + 1, "e": e + 1, "w": 1} for e, n in found[f].iter(c.lower())]
-                for f, c, s in rows
-            ]
-            kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("w", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(spans, kind)], [*names, "spans"])
+            spans = [s if c is None or f not in found else s + [x for place in places(found[f], c) for x in place] for f, c, s in rows]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(spans, pa.list_(pa.int32()))], [*names, "spans"])
 
     return run
 

@@ -69,6 +69,15 @@ def test_split_cells_in_blocks_equals_one_pass(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 2)
     parts = {r.row_id: r["items"] for r in S.split_cells(cells, {"author_keywords": S.KEYWORDS}).collect()}
     assert all(parts[k] == v for k, v in whole.items())
+    assert all(parts[10 + i] == [f"k{i % 4}, z", "w"] for i in range(8))
+
+
+def test_packed_values_in_blocks_equal_one_pass(spark, data, monkeypatch):
+    from marula.plans import packed
+
+    one = {tuple(r) for r in packed.p6_values(spark, data).collect()}
+    monkeypatch.setattr(S, "BLOCK", 20)
+    assert {tuple(r) for r in packed.p6_values(spark, data).collect()} == one
 
 
 def test_split_cells_takes_extra_and_empty(spark):
