@@ -232,7 +232,7 @@ def test_map_terms(spark):
         "Small  loans ": "microcredit", "gbv": "gender-based violence", "gender–based violence": "gender-based violence", "violence (gender-based)": "gender-based violence", "credit access, household": "household credit access",
         "hh credit access": "household credit access", "invasive speceis": "invasive species", "periurban mobilities": "peri-urban mobility", "mobility, peri-urban": "peri-urban mobility", "coastal watr gov.": "coastal water governance",
         "waste water reuse": "wastewater reuse", "maternal morbidity": None, "food safety": None, "refugee credit access": None, "household access": None, "": None, "...": None, "credit access household road safety": None, "tea auction": None,
-        "microcredits.": "microcredit", "raod safety": "road safety",
+        "microcredits.": "microcredit", "raod safety": "road safety", "management of solid waste": "solid waste management", "the road safety": "road safety", "of": None, "road road safety": None,
     }
     rows = [(i, t, "clash") for i, t in enumerate(typed)] + [(900, None, "c"), (901, "road " * 50_000, "c"), (902, "gbv", "c")]
     df = spark.createDataFrame(rows, "entry_id bigint, typed_term string, term string")
@@ -246,6 +246,45 @@ def test_map_terms(spark):
     assert canonical_terms.map_terms(df.limit(0), "entry_id", "typed_term", listed, "source_term", "preferred_term").count() == 0
 
 
+def test_map_terms_in_blocks_equals_one_pass(spark, data, monkeypatch):
+    one = {tuple(r) for r in queries.p7_found(spark, data).collect()}
+    monkeypatch.setattr(canonical_terms, "BLOCK", 60)
+    assert {tuple(r) for r in queries.p7_found(spark, data).collect()} == one
+
+
+def test_score_against_all_assignments():
+    rng = random.Random(12)
+    words = "ab cd ef gh ij".split()
+    for _ in range(300):
+        bag = tuple(sorted(rng.choice(words) for _ in range(rng.randint(1, 4))))
+        entries = canonical_terms.Entries([(" ".join(bag), "x")], {w: 1 + i / 3 for i, w in enumerate(words)}, 3.0)
+        tokens = [rng.choice([*words, "zz", "of"]) for _ in range(rng.randint(1, 5))]
+        matches = [(i, size, rng.choice(words), rng.choice([1.0, 0.95, 0.9])) for i in range(len(tokens)) for size in (1, 1, 2) if i + size <= len(tokens) and rng.random() < 0.6]
+        best = 0.0
+
+        def walk(pos, left, common, own):
+            nonlocal best
+            if pos == len(tokens):
+                best = max(best, common / entries.norms[0] / own**0.5)
+                return
+            walk(pos + 1, left, common, own + (0.1 if tokens[pos] == "of" else 3.0) ** 2)
+            for p, size, w, sim in matches:
+                if p == pos and w in left:
+                    rest = list(left)
+                    rest.remove(w)
+                    walk(pos + size, rest, common + entries.weight(w) ** 2 * sim, own + entries.weight(w) ** 2)
+
+        walk(0, list(bag), 0.0, 0.0)
+        hit = entries.best(tokens, matches, 0.3)
+        assert (hit[1] if hit else None) == (pytest.approx(best) if best >= 0.3 else None)
+
+
+def test_a_word_typed_too_often_is_no_error():
+    assert not canonical_terms.too_often(3, 24) and not canonical_terms.too_often(4, 82) and not canonical_terms.too_often(1, 0)
+    assert canonical_terms.too_often(40, 60) and not canonical_terms.too_often(20, 1000) and canonical_terms.too_often(60, 1000)
+    assert not canonical_terms.too_often(20_000, 1_000_000) and canonical_terms.too_often(21_000, 1_000_000)
+
+
 def test_edits_and_deletions():
     rng = random.Random(9)
     for _ in range(300):
