@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marula.functions import text as T
@@ -41,15 +43,38 @@ def rewrite_rules(vocabulary: DataFrame, american: dict[str, str], acronyms: dic
     return found.unionByName(extra.join(found.select("source_term"), "source_term", "left_anti"))
 
 
+#: Most rules that go into every row's expression.
+IN_ROW = 2_000
+
+
 def harmonise(cells: DataFrame, rules: DataFrame, delimiter: str = "; ") -> DataFrame:
-    """cells (row_id, cell) with keywords (lower-cased, rewritten once) and n_changed.
+    """cells (row_id, cell) with keywords (lower-cased, rewritten once) and n_changed, of cells with a keyword.
 
-    Each distinct keyword is looked up by an equi-join and the cells are put together again in order.
+    A counted list of rules is looked up in the row, so nothing is shuffled; a longer
+    one is joined keyword by keyword and the cells are put together again in order.
     """
+    listed = rules.select(F.col("source_term").alias("term"), "preferred_term").where("term is not null and preferred_term is not null")
+    found = listed.limit(IN_ROW + 1).collect()
+    if len(found) > IN_ROW:
+        return _harmonise_joined(cells, listed, delimiter)
+    pairs = [F.lit(v) for r in found for v in (r.term, r.preferred_term)]
+    terms = cells.select("row_id", F.transform(T.split_values(F.col("cell"), delimiter), F.lower).alias("t")).where(F.size("t") > 0)
+    to = F.transform("t", lambda x: F.coalesce(F.try_element_at(F.create_map(*pairs), x), x)) if pairs else F.col("t")
+    both = terms.select("row_id", "t", to.alias("to"))
+    changed = F.aggregate(F.zip_with("t", "to", lambda a, b: (a != b).cast("bigint")), F.lit(0).cast("bigint"), lambda n, x: n + x)
+    return both.select("row_id", F.array_join("to", "; ").alias("keywords"), changed.alias("n_changed"))
+
+
+def _harmonise_joined(cells: DataFrame, listed: DataFrame, delimiter: str) -> DataFrame:
     each = cells.select("row_id", F.posexplode(T.split_values(F.col("cell"), delimiter)).alias("pos", "k"))
-    each = each.select("row_id", "pos", F.lower("k").alias("term"))
-    mapped = each.join(rules.select(F.col("source_term").alias("term"), "preferred_term"), "term", "left")
+    mapped = each.select("row_id", "pos", F.lower("k").alias("term")).join(listed, "term", "left")
     to = F.coalesce("preferred_term", "term")
     groups = mapped.select("row_id", "pos", to.alias("to"), (to != F.col("term")).cast("bigint").alias("c")).groupBy("row_id")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "to"))), lambda x: x["to"])
     return groups.agg(F.array_join(ordered, "; ").alias("keywords"), F.sum("c").alias("n_changed"))
+
+
+def without_terms(words: Column, terms: Sequence[str]) -> Column:
+    """An array of keywords without the listed ones, in whatever case; order and repetitions stay, null if none is left."""
+    kept = F.filter(words, lambda x: ~F.lower(x).isin(*terms))
+    return F.when(F.size(kept) > 0, kept)

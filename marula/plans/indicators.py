@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from marula.functions import text as T
 from marula.operators import measures as M
-from marula.plans.dims import SQL_COUNTRIES, SQL_GOALS, countries, goals
+from marula.plans.dims import SQL_COUNTRIES, SQL_GOALS, countries, country_rows, goals
 from marula.plans.records import PUBS, publications
 from marula.plans.registry import query
 from marula.session import table
 
 
+def record_countries(affiliations) -> tuple:
+    """The countries of a packed cell, each once and in order: all names, and those of the list. Stays in the row."""
+    parts = F.transform(F.split(affiliations, "[;|\n]"), lambda a: T.strip(F.element_at(F.split(F.regexp_replace(a, '"', ""), ","), -1)))
+    names = F.array_distinct(parts)
+    return names, F.array_intersect(names, F.array(*(F.lit(r[2]) for r in country_rows())))
+
+
 def by_country(spark: SparkSession, folder: str) -> DataFrame:
-    """One row (row_id, country, year, cites, n_countries) for each listed country of a record."""
-    p = publications(spark, folder).select("row_id", "year", "cites", "source_title", "sdg_number", F.explode(F.split("affiliations", "[;|\n]")).alias("a"))
-    name = T.strip(F.element_at(F.split(F.regexp_replace("a", '"', ""), ","), -1))
-    each = p.select("row_id", "year", "cites", "source_title", "sdg_number", name.alias("country")).distinct()
-    each = each.join(F.broadcast(countries(spark)), "country")
-    n = F.count("*").over(Window.partitionBy("row_id"))
-    return each.withColumn("n_countries", n)
+    """One row (row_id, country, year, cites, n_countries) for each listed country of a record; nothing is shuffled."""
+    p = publications(spark, folder).select("row_id", "year", "cites", "source_title", "sdg_number", record_countries(F.col("affiliations"))[1].alias("c"))
+    each = p.select("row_id", "year", "cites", "source_title", "sdg_number", F.size("c").cast("bigint").alias("n_countries"), F.explode("c").alias("country"))
+    return each.join(F.broadcast(countries(spark)), "country")
 
 
 BY_COUNTRY = rf"""{PUBS}, {SQL_COUNTRIES}, pc AS (SELECT DISTINCT row_id, year, cites, source_title, sdg_number,

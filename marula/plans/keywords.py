@@ -101,14 +101,12 @@ def _slices(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {KEYWORDS}, s AS (SELECT DISTINCT keyword, {_SLICE} AS slice FROM kw WHERE year IS NOT NULL), f AS (SELECT keyword, string_agg(slice, ' ' ORDER BY slice) AS s FROM s GROUP BY 1) SELECT keyword, CASE WHEN s LIKE '%2015-2018%2019-2022%2023-%' THEN 'lasting' WHEN s NOT LIKE '%2015-2018%' AND s LIKE '%2023-%' THEN 'emerging' WHEN s LIKE '%2015-2018%' AND s NOT LIKE '%2023-%' THEN 'disappearing' ELSE 'other' END AS course FROM f")
 def keyword_course(spark: SparkSession, folder: str) -> DataFrame:
-    """Keywords of all time slices, of later ones only, or of earlier ones only: intersections and differences of sets."""
-    s = {k: _slices(spark, folder).where(F.col("slice") == k).select("keyword").distinct() for k in ("2015-2018", "2019-2022", "2023-")}
-    lasting = s["2015-2018"].intersect(s["2019-2022"]).intersect(s["2023-"])
-    emerging, gone = s["2023-"].subtract(s["2015-2018"]), s["2015-2018"].subtract(s["2023-"])
-    every = s["2015-2018"].union(s["2019-2022"]).union(s["2023-"]).distinct()
-    other = every.join(lasting.union(emerging).union(gone), "keyword", "left_anti")
-    label = lambda d, v: d.withColumn("course", F.lit(v))
-    return label(lasting, "lasting").unionByName(label(emerging, "emerging")).unionByName(label(gone, "disappearing")).unionByName(label(other, "other"))
+    """Keywords of all time slices, of later ones only, or of earlier ones only: sets met and parted in one aggregate of bits."""
+    bit = F.when(F.col("year") <= 2018, 1).when(F.col("year") <= 2022, 2).otherwise(4)
+    s = author_keywords(spark, folder).where("year is not null").groupBy("keyword").agg(F.bit_or(bit).alias("s"))
+    has = lambda b: F.col("s").bitwiseAND(b) != 0
+    course = F.when(F.col("s") == 7, "lasting").when(~has(1) & has(4), "emerging").when(has(1) & ~has(4), "disappearing").otherwise("other")
+    return s.select("keyword", course.alias("course"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents")

@@ -1,7 +1,9 @@
-"""Session helpers: table access, checkpoints and memory-safe sizes."""
+"""Session helpers: table access and checkpoints."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +17,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df through reliable files that outlive an executor.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a
-    temporary one is set only where that is unset, as in tests.
+    The folder is the one that the cluster names in spark.checkpoint.dir. Where that is
+    unset, a session on one machine gets a temporary one, which is deleted at its end;
+    on a cluster it's an error, as its executors share no such folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marula-"))
+        if folder is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="marula-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

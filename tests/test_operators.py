@@ -335,3 +335,38 @@ def test_growth(spark):
     df = spark.createDataFrame([(1.0, 2.0), (0.0, 3.0), (3.0, 0.0), (None, 1.0), (4.0, 4.0)], "a double, b double")
     got = [r[0] for r in df.select(measures.growth(df.a, df.b, 1)).collect()]
     assert got == [pytest.approx(100), None, None, None, pytest.approx(0)]
+
+
+def test_harmonise_joined_equals_in_row(spark, monkeypatch):
+    c = spark.createDataFrame([(1, "Farms; Labor; x; Labor"), (2, None), (3, ""), (4, " ; ")], "row_id bigint, cell string")
+    r = spark.createDataFrame([("labor", "labour"), ("labour", "work"), (None, "x")], "source_term string, preferred_term string")
+    one = sorted(tuple(x) for x in K.harmonise(c, r).collect())
+    monkeypatch.setattr(K, "IN_ROW", 1)
+    assert sorted(tuple(x) for x in K.harmonise(c, r).collect()) == one == [(1, "farms; labour; x; labour", 2)]
+    assert K.harmonise(c, r.limit(0)).first().keywords == "farms; labor; x; labor"
+
+
+def test_without_terms(spark):
+    df = spark.createDataFrame([(["Kenya", "soil", "soil"],), (["KENYA"],), ([],), (None,)], "w array<string>")
+    assert [r[0] for r in df.select(K.without_terms(df.w, ["kenya"])).collect()] == [["soil", "soil"], None, None, None]
+
+
+def test_checkpoint_folder(spark):
+    from marula import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    class Frame:
+        sparkSession = Session()
+
+    with pytest.raises(ValueError):
+        session.checkpoint(Frame())
+    assert session.checkpoint(spark.range(3)).count() == 3
