@@ -21,22 +21,38 @@ def merged_tags(tags: str):
     return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(each, lambda x: x.try_cast("int")), lambda x: x.isNotNull()))), ",")
 
 
-def keep_fullest(df: DataFrame, key: str, score: str, order: str, tags: str) -> DataFrame:
-    """One row for each key: the fullest, then the first; tags merged over the key's rows.
+#: Row numbers below this fit beside a score in one number.
+ROWS = 1 << 56
+
+
+def _rank(score: str, order: str):
+    """A number that is larger for a fuller row, and of equals for the earlier one."""
+    return F.col(score).cast("bigint") * ROWS + (ROWS - 1 - F.col(order))
+
 
-    Rows are compared as one struct inside an aggregate, which is combined before it
-    is shuffled, so a key with a third of all rows isn't gathered anywhere.
+def _row_of(rank):
+    """The row that a rank stands for."""
+    return F.lit(ROWS - 1) - rank.bitwiseAND(ROWS - 1)
+
+
+def settle(df: DataFrame, key: str, score: str, order: str, tags: str) -> DataFrame:
+    """df with keeper, the row that is kept for each row's key, n_rows, the key's rows, and tags merged over the key's rows.
+
+    Kept is the fullest row, then the first. A row without a key is its own keeper. The
+    keeper is the maximum of one number for each key, so a key with a third of all rows
+    is combined before the shuffle. order holds whole numbers from 0 to below 2 ** 56,
+    score from 0 to 127.
     """
-    others = [c for c in df.columns if c not in (key, tags)]
-    best = F.max_by(F.struct(*others), F.struct(F.col(score), -F.col(order))).alias("best")
-    return df.groupBy(key).agg(best, merged_tags(tags).alias(tags), F.count("*").alias("n_rows")).select(key, "best.*", tags, "n_rows")
+    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(_rank(score, order)).alias("_rank"), merged_tags(tags).alias("_tags"), F.count("*").alias("n_rows"))
+    best = best.select(key, _row_of(F.col("_rank")).alias("keeper"), "_tags", "n_rows")
+    alone = df.where(F.col(key).isNull()).withColumns({"keeper": F.col(order).cast("bigint"), "n_rows": F.lit(1).cast("bigint")})
+    found = df.join(best, key).withColumn(tags, F.col("_tags")).select(*df.columns, "keeper", "n_rows")
+    return found.unionByName(alone.select(found.columns))
 
 
-def removals(df: DataFrame, kept: DataFrame, key: str, order: str, reason: str) -> DataFrame:
-    """The rows of df that kept doesn't hold, each beside the row of its key that it does."""
-    keepers = kept.select(key, F.col(order).alias("kept_row_id"))
-    lost = df.join(keepers, key).where(F.col(order) != F.col("kept_row_id"))
-    return lost.select(F.col(order).alias("removed_row_id"), "kept_row_id", F.lit(reason).alias("match_reason"))
+def keep_fullest(df: DataFrame, key: str, score: str, order: str, tags: str) -> DataFrame:
+    """One row for each key: the fullest, then the first; tags merged over the key's rows. Rows without a key are left out."""
+    return settle(df.where(F.col(key).isNotNull()), key, score, order, tags).where(F.col(order) == F.col("keeper")).drop("keeper")
 
 
 def indel_ratio(a: str, b: str) -> float:

@@ -107,7 +107,7 @@ def file_order_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _by(spark: SparkSession, folder: str, key: str) -> DataFrame:
     p = publications(spark, folder).select("row_id", F.col(key).alias("k"), "n_filled", F.col("sdg_number").alias("tags"))
-    return records.keep_fullest(p.where("k is not null"), "k", "n_filled", "row_id", "tags")
+    return records.keep_fullest(p, "k", "n_filled", "row_id", "tags")
 
 
 def _sql_by(key: str) -> str:
@@ -127,17 +127,55 @@ def doi_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return _by(spark, folder, "doi_clean")
 
 
-def deduplicated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Survivors of the identifier pass and the DOI pass, in order, and the audit of what was removed."""
-    p = publications(spark, folder).select("row_id", "eid_clean", "doi_clean", "title_clean", "year", "n_filled", F.col("sdg_number").alias("tags"), "cites", "source_title", "affiliations", "author_keywords", "sdg_number")
-    with_eid = p.where("eid_clean is not null")
-    first = records.keep_fullest(with_eid, "eid_clean", "n_filled", "row_id", "tags").drop("n_rows")
-    pool = first.unionByName(p.where("eid_clean is null").select(first.columns))
-    with_doi = pool.where("doi_clean is not null")
-    second = records.keep_fullest(with_doi, "doi_clean", "n_filled", "row_id", "tags").drop("n_rows")
-    left = second.unionByName(pool.where("doi_clean is null").select(second.columns))
-    audit = records.removals(with_eid, first, "eid_clean", "row_id", "eid_exact_match").unionByName(records.removals(with_doi, second, "doi_clean", "row_id", "doi_exact_match"))
-    return left, audit
+def _narrow(spark: SparkSession, folder: str) -> DataFrame:
+    """What deduplication decides on; the other columns are joined to the survivors afterwards."""
+    return publications(spark, folder).select("row_id", "eid_clean", "doi_clean", "title_clean", "year", "n_filled", F.col("sdg_number").alias("tags"))
+
+
+def _pass(pool: DataFrame, key: str, reason: str) -> tuple[DataFrame, DataFrame]:
+    """Rows kept and rows removed by one key, with the keeper's keys."""
+    done = checkpoint(records.settle(pool, key, "n_filled", "row_id", "tags"))
+    kept = done.where("keeper = row_id").drop("keeper", "n_rows")
+    gone = done.where("keeper <> row_id").select(F.col("row_id").alias("removed_row_id"), F.col("keeper").alias("kept_row_id"), F.lit(reason).alias("match_reason"))
+    return kept, gone
+
+
+def deduplicated(spark: SparkSession, folder: str, eid_bonus: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Survivors of the identifier pass and the DOI pass, in order, and the audit of what was removed.
+
+    Decided on narrow rows. eid_bonus is added to the completeness of rows with an
+    identifier in the DOI pass; 2 gives the keepers of programs whose own helper
+    columns, which only such rows have filled, are counted too.
+    """
+    first, gone = _pass(_narrow(spark, folder), "eid_clean", "eid_exact_match")
+    if eid_bonus:
+        first = first.withColumn("n_filled", F.col("n_filled") + F.when(F.col("eid_clean").isNotNull(), eid_bonus).otherwise(0))
+    second, more = _pass(first, "doi_clean", "doi_exact_match")
+    return second, gone.unionByName(more)
+
+
+def titles_settled(left: DataFrame) -> DataFrame:
+    """Survivors of the exact passes with their class of similar titles: columns of left, class_id, n_links.
+
+    Only records without a DOI, with a year and a title take part; each other one is its
+    own class. Equal word sets of one year are compared once.
+    """
+    asked = F.col("doi_clean").isNull() & F.col("year").isNotNull() & (F.col("title_clean") != "")
+    rows = checkpoint(left.where(asked).select("row_id", "year", F.array_sort(F.array_distinct(F.split("title_clean", " "))).alias("words")))
+    titles = rows.groupBy("year", "words").agg(F.min("row_id").alias("id"))
+    pairs = checkpoint(records.similar_titles(titles.select("id", "year", "words")))
+    links = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
+    labels = graph.min_label_components(pairs)
+    of = rows.join(titles, ["year", "words"]).join(labels, "id", "left").join(links, "id", "left")
+    of = of.select("row_id", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return left.join(of, "row_id", "left")
+
+
+def fully_deduplicated(spark: SparkSession, folder: str, eid_bonus: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Survivors of all three passes with merged tags, and the audit of what each removed."""
+    left, audit = deduplicated(spark, folder, eid_bonus)
+    kept, gone = _pass(titles_settled(left).drop("n_links"), "class_id", "fuzzy_title_match")
+    return kept.drop("class_id"), audit.unionByName(gone)
 
 
 _TWO_PASSES = f"""{PUBS}, a AS (SELECT *, row_number() OVER (PARTITION BY eid_clean ORDER BY n_filled DESC, row_id) AS r1, first_value(row_id) OVER (PARTITION BY eid_clean ORDER BY n_filled DESC, row_id) AS k1 FROM pubs),
@@ -188,20 +226,40 @@ def fuzzy_title_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     One row for each record: its class, named by the class's smallest row, the
     class's size, and the number of distinct titles its own is directly linked with.
-    Equal word sets of one year are compared once.
     """
-    left = deduplicated(spark, folder)[0].where("doi_clean is null and year is not null and title_clean <> ''")
-    rows = checkpoint(left.select("row_id", "year", F.array_sort(F.array_distinct(F.split("title_clean", " "))).alias("words")))
-    titles = rows.groupBy("year", "words").agg(F.min("row_id").alias("id"))
-    pairs = checkpoint(records.similar_titles(titles.select("id", "year", "words")))
-    links = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    labels = graph.min_label_components(pairs)
-    of = rows.join(titles, ["year", "words"]).join(labels, "id", "left").join(links, "id", "left")
-    of = of.select("row_id", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of = checkpoint(titles_settled(deduplicated(spark, folder)[0]).where("class_id is not null").select("row_id", "class_id", "n_links"))
     sizes = of.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return of.join(sizes, "class_id").select("row_id", "class_id", "class_size", "n_links")
 
 
+@query()
+def full_dedup_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """Records left after all three passes, with the tags of all records that they stand for."""
+    kept = fully_deduplicated(spark, folder)[0]
+    return kept.select("row_id", "eid_clean", "doi_clean", "title_clean", "tags", F.size(F.split("tags", ",")).alias("tag_count"))
+
+
+@query()
+def full_dedup_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The removal log of all three passes: what was removed, its title's first 80 characters, what is kept and why, and the merged tags."""
+    kept, gone = fully_deduplicated(spark, folder)
+    p = publications(spark, folder).select("row_id", F.substring(F.coalesce("title", F.lit("")), 1, 80).alias("title"), "eid_clean", "doi_clean")
+    lost = p.withColumnsRenamed({"row_id": "removed_row_id", "title": "removed_title", "eid_clean": "removed_eid", "doi_clean": "removed_doi"})
+    held = p.select(F.col("row_id").alias("kept_row_id"), F.col("eid_clean").alias("kept_eid"), F.col("doi_clean").alias("kept_doi"))
+    number = F.when(F.col("match_reason") == "eid_exact_match", 1).when(F.col("match_reason") == "doi_exact_match", 2).otherwise(3)
+    out = gone.join(lost, "removed_row_id").join(held, "kept_row_id").withColumn("pass_number", number)
+    return out.select("pass_number", "removed_row_id", "removed_title", "removed_eid", "removed_doi", "kept_row_id", "kept_eid", "kept_doi", "match_reason")
+
+
+@query()
+def full_reconciliation(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows removed by each of the three passes, and whether they and the rows kept are all rows."""
+    kept, gone = fully_deduplicated(spark, folder)
+    by = gone.agg(*(F.count_if(F.col("match_reason") == r).alias(n) for n, r in (("by_eid", "eid_exact_match"), ("by_doi", "doi_exact_match"), ("by_title", "fuzzy_title_match"))))
+    out = table(spark, folder, "raw_publications").agg(F.count("*").alias("n_in")).crossJoin(by).crossJoin(kept.agg(F.count("*").alias("n_kept")))
+    return out.withColumn("adds_up", F.col("n_in") == F.col("by_eid") + F.col("by_doi") + F.col("by_title") + F.col("n_kept"))
+
+
 @query("SELECT pass_number, match_reason, count(*) AS n, count(DISTINCT removed_row_id) AS n_removed FROM dedup_log GROUP BY ALL")
 def reason_tally(spark: SparkSession, folder: str) -> DataFrame:
     """The removal log by pass and reason."""

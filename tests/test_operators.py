@@ -370,3 +370,58 @@ def test_checkpoint_folder(spark):
     with pytest.raises(ValueError):
         session.checkpoint(Frame())
     assert session.checkpoint(spark.range(3)).count() == 3
+
+
+def test_three_passes_against_brute_force(spark, tmp_path):
+    from marula.plans import records as plans
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdeghiklmnorst", k=rng.randint(3, 9))) for _ in range(40)]
+    titles = [" ".join(rng.sample(words, rng.randint(6, 10))) for _ in range(25)] + ["vaccination", "vaccinations"]
+    rows = []
+    for i in range(160):
+        t = rng.choice(titles)
+        if rng.random() < 0.3:
+            t = t + " " + rng.choice(words)
+        rows.append((i, rng.choice([*[None] * 60, "N/A", *(f"e{k}" for k in range(40))]), rng.choice([*[None] * 40, " - ", *(f"https://doi.org/10.1/{k}" for k in range(30))]), rng.choice([t, t.upper(), None, t, t]),
+                     rng.choice(["a", None]), rng.choice(["2018", "2019.0", "2020", None, "x"]), rng.choice(["aff", None]), rng.choice(["3", "1", "13", "x"])))
+    blank = [(None,) * 7]
+    df = spark.createDataFrame([(*r[:7], *blank[0], r[7]) for r in rows], "row_id bigint, eid string, doi string, title string, authors string, pub_year string, affiliations string, author_keywords string, index_keywords string, abstract string, cited_by string, source_title string, document_type string, source_file string, sdg_number string")
+    df.repartition(3).write.parquet(f"{tmp_path}/raw_publications.parquet")
+
+    def clean(r):
+        doi = (r[2] or "").strip().lower().removeprefix("https://doi.org/")
+        year = int(float(r[5])) if r[5] and r[5] != "x" else None
+        return {"id": r[0], "eid": r[1], "doi": doi if doi not in ("", "-") else None, "t": (r[3] or "").lower(), "y": year, "n": sum(x is not None for x in r[1:7]), "tags": {int(r[7])} if r[7] != "x" else set()}
+
+    pool, want = [clean(r) for r in rows], {}
+
+    def settle(pool, key, reason):
+        groups, out = {}, []
+        for r in pool:
+            if key(r) is None:
+                out.append(r)
+            else:
+                groups.setdefault(key(r), []).append(r)
+        for g in groups.values():
+            best = max(g, key=lambda r: (r["n"], -r["id"]))
+            tags = set().union(*(r["tags"] for r in g))
+            out.append({**best, "tags": tags})
+            want.update({r["id"]: (best["id"], reason) for r in g if r is not best})
+        return out
+
+    pool = settle(pool, lambda r: r["eid"], "eid_exact_match")
+    pool = settle(pool, lambda r: r["doi"], "doi_exact_match")
+    open_ = [r for r in pool if r["doi"] is None and r["y"] is not None and r["t"]]
+    near = [(a["id"], b["id"]) for a in open_ for b in open_ if a["id"] < b["id"] and abs(a["y"] - b["y"]) <= 1 and records.token_set_ratio(a["t"], b["t"]) >= 95]
+    home = union_find(near)
+    pool = settle(pool, lambda r: home.get(r["id"]), "fuzzy_title_match")
+    got = plans.full_dedup_audit(spark, str(tmp_path)).collect()
+    assert {r.removed_row_id: (r.kept_row_id, r.match_reason) for r in got} == want and len(got) == len(want)
+    assert {r[1] for r in want.values()} == {"eid_exact_match", "doi_exact_match", "fuzzy_title_match"}
+    kept = {r.row_id: r.tags for r in plans.full_dedup_survivors(spark, str(tmp_path)).collect()}
+    assert set(kept) == {r["id"] for r in pool}
+    merged = {r["id"]: ",".join(map(str, sorted(r["tags"]))) for r in pool}
+    alone = {r[0]: r[7] for r in rows}
+    assert all(v == merged[k] or (v == alone[k] == "x") for k, v in kept.items())
+    assert plans.full_reconciliation(spark, str(tmp_path)).first().adds_up
