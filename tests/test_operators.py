@@ -364,14 +364,36 @@ def test_checkpoint_folder(spark):
         sparkContext = Context()
         conf = {}
 
-    class Frame:
-        sparkSession = Session()
-
     with pytest.raises(ValueError):
-        session.checkpoint(Frame())
+        session.shared_folder(Session())
     assert session.checkpoint(spark.range(3)).count() == 3
 
 
+def test_checkpoints_are_deleted_at_the_end(tmp_path):
+    import subprocess
+    import sys
+    import time
+
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from marula.session import written
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+df = written(spark.range(5))
+assert df.count() == 5 and len(df.inputFiles()) > 0
+"""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code, str(tmp_path)], cwd=root, check=True, timeout=300)
+    for _ in range(60):
+        # the session's JVM ends a little after the program
+        if not (left := list(tmp_path.rglob("*.parquet"))):
+            break
+        time.sleep(1)
+    assert not left
+
+
 def test_three_passes_against_brute_force(spark, tmp_path):
     from marula.plans import records as plans
 
