@@ -45,7 +45,7 @@ from marula.llm.components import connected_components
 from marula.llm.lookalikes import consistent
 from marula.operators import segmentation as S
 from marula.plans.dims import country_rows
-from marula.session import checkpoint
+from marula.session import checkpoint, written
 
 #: Nicknames: the written forms of kinds of organisation. Fixed values.
 KINDS = {
@@ -416,7 +416,7 @@ def link_records(publications: DataFrame, overrides: DataFrame) -> DataFrame:
     publications: row_id, affiliations. overrides: override_id, raw_string.
     """
     typed = mentions(overrides, "override_id", "raw_string", "override", packed=False)
-    found = checkpoint(typed.unionByName(mentions(publications, "row_id", "affiliations", "publication", packed=True)))
+    found = written(typed.unionByName(mentions(publications, "row_id", "affiliations", "publication", packed=True)))
     found = whole_names(found)
     entities = link_names(found)
     named = found.select("origin", "record_id", "name").join(entities, "name").select("origin", "record_id", "entity").distinct()

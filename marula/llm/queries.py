@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marula.llm import canonical_terms, components, cooccurrence, format_copies, leaks, lookalikes, mixing, names, reading_level
 from marula.operators import segmentation as S
 from marula.plans import packed
-from marula.session import checkpoint, table
+from marula.session import table, written
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _baskets(spark: SparkSession, folder: str) -> DataFrame:
         F.transform("items", lambda x: F.lower(F.trim(F.element_at(F.split(x, ","), -1)))), lambda x: x != ""
     )
     items = F.when(F.col("field_name") == "affiliations", country).otherwise(F.transform("items", lambda x: F.lower(x)))
-    return checkpoint(split.select("field_name", F.array_distinct(items).alias("items")))
+    return written(split.select("field_name", F.array_distinct(items).alias("items")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
