@@ -32,6 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a path, which must exist, when it ends."""
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -53,8 +54,8 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    _delete_at_end(spark, path)
     df.write.parquet(path)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
