@@ -38,14 +38,25 @@ def normal_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s-]", " "), r"\s+", " "))
 
 
+#: Articles that don't count in exact look-ups, taken out in this order. Fixed values.
+ARTICLES = (" of the ", " of a ", " de la ", " de las ", " du ", " des ", " der ", " van de ", " van den ")
+
+
 def exact_name(c: Column) -> Column:
-    """A name for exact look-ups: without articles, hyphens inside words as blanks."""
-    v = F.regexp_replace(F.concat(F.lit(" "), normal_name(c), F.lit(" ")), r"(?<=[\p{L}\p{N}_])-(?=[\p{L}\p{N}_])", " ")
-    for article in ("the", "of", "de", "la", "le", "les", "du", "des", "da"):
-        v = F.replace(v, F.lit(f" {article} "), F.lit(" "))
+    """A name for exact look-ups: normal_name without articles, hyphens inside words as blanks."""
+    v = F.concat(F.lit(" "), normal_name(c), F.lit(" "))
+    for article in ARTICLES:
+        v = F.replace(v, F.lit(article), F.lit(" "))
+    v = F.regexp_replace(v, r"(?<=[\p{L}\p{N}_])-(?=[\p{L}\p{N}_])", " ")
     return F.trim(F.regexp_replace(v, r"\s+", " "))
 
 
+def title_case(c: Column) -> Column:
+    """Every letter that doesn't follow a letter in upper case, all others in lower case."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+
+
 def whole_number(c: Column) -> Column:
     """An integer from text such as 2015 or 2015.0, null from anything else."""
     return c.try_cast("double").try_cast("int")

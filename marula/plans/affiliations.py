@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marula.functions import text as T
 from marula.operators.records import best_partial
-from marula.plans.dims import INSTITUTION_WORDS, ROLES, SQL_COUNTRIES, UNIT_PREFIXES, countries
+from marula.plans.dims import INSTITUTION_WORDS, OTHER_NAMES, ROLES, SQL_COUNTRIES, UNIT_PREFIXES, countries, country_rows
 from marula.plans.registry import query
 from marula.session import checkpoint, partitions, table
 
@@ -34,116 +34,189 @@ def affiliation_segments(spark: SparkSession, folder: str) -> DataFrame:
     return segments(spark, folder).groupBy("segment").agg(T.normal_name(F.first("segment")).alias("plain"), F.count("*").alias("n"), F.countDistinct("row_id").alias("n_records"))
 
 
-def _tail(segment):
-    """The last three comma parts, from the end."""
+def hints(segment):
+    """The listed countries named in the last three comma parts, from the end, each once, as their codes."""
     parts = F.transform(F.split(segment, ","), lambda x: F.lower(T.strip(x)))
-    return F.reverse(F.slice(parts, -F.least(F.size(parts), F.lit(3)), 3))
+    tail = F.reverse(F.slice(parts, -F.least(F.size(parts), F.lit(3)), 3))
+    codes = F.create_map(*(F.lit(v) for r in country_rows() for v in (r[2].lower(), r[0])))
+    return F.array_distinct(F.filter(F.transform(tail, lambda x: F.try_element_at(codes, x)), lambda x: x.isNotNull()))
 
 
-@query(rf"""WITH {SEGMENTS}, {SQL_COUNTRIES}, d AS (SELECT DISTINCT segment FROM seg), p AS (SELECT segment, list_reverse(list_transform(string_split(segment, ','), lambda x: lower(regexp_replace(x, '{_STRIP}', '', 'g'))))[1:3] AS tail FROM d),
-  h AS (SELECT segment, k, iso2 FROM p, unnest(generate_series(1, len(tail))) AS u(k) JOIN countries c ON lower(c.country) = tail[k]), f AS (SELECT segment, iso2, min(k) AS k FROM h GROUP BY ALL)
-  SELECT d.segment, coalesce(string_agg(iso2, ',' ORDER BY f.k), '') AS hints FROM d LEFT JOIN f USING (segment) GROUP BY d.segment""")
+#: hinted(segment, iso2, k): the same for the segments d.
+HINTS = rf"""tails AS (SELECT segment, list_reverse(list_transform(string_split(segment, ','), lambda x: lower(regexp_replace(x, '{_STRIP}', '', 'g'))))[1:3] AS tail FROM d),
+  hinted AS (SELECT segment, iso2, min(k) AS k FROM tails, unnest(generate_series(1, len(tail))) AS u(k) JOIN countries c ON lower(c.country) = tail[k] GROUP BY ALL)"""
+
+
+@query(rf"""WITH {SEGMENTS}, {SQL_COUNTRIES}, d AS (SELECT DISTINCT segment FROM seg), {HINTS}
+  SELECT d.segment, coalesce(string_agg(iso2, ',' ORDER BY k), '') AS hints FROM d LEFT JOIN hinted USING (segment) GROUP BY d.segment""")
 def country_hints(spark: SparkSession, folder: str) -> DataFrame:
     """Countries named in the last three parts of each affiliation, from the end, each once."""
-    d = segments(spark, folder).select("segment").distinct()
-    hints = d.select("segment", F.posexplode(_tail(F.col("segment"))).alias("k", "name")).join(F.broadcast(countries(spark).select(F.lower("country").alias("name"), "iso2")), "name")
-    first = hints.groupBy("segment", "iso2").agg(F.min("k").alias("k"))
-    listed = first.groupBy("segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "iso2"))), lambda x: x["iso2"]), ",").alias("hints"))
-    return d.join(listed, "segment", "left").select("segment", F.coalesce("hints", F.lit("")).alias("hints"))
+    return segments(spark, folder).select("segment").distinct().select("segment", F.array_join(hints(F.col("segment")), ",").alias("hints"))
 
 
 def _known(spark: SparkSession, folder: str) -> DataFrame:
     """The reviewed strings by their normalised form; the last decision on a form holds."""
     o = table(spark, folder, "manual_overrides").select(T.normal_name(F.col("raw_string")).alias("form"), "override_id", "ror_id")
-    return o.where("form <> ''").groupBy("form").agg(F.max_by("ror_id", F.struct("override_id")).alias("ror_id"), F.max("override_id").alias("override_id"))
+    return o.where("form <> ''").groupBy("form").agg(F.max_by("ror_id", "override_id").alias("ror_id"), F.max("override_id").alias("override_id"))
+
+
+def institutions(spark: SparkSession, folder: str) -> DataFrame:
+    """The register of known organisations: override_id, name, acronym in brackets and country of each reviewed string."""
+    last = F.lower(T.strip(F.element_at(F.split("raw_string", ","), -1)))
+    o = table(spark, folder, "manual_overrides").where("raw_string is not null")
+    return o.select("override_id", F.regexp_replace("raw_string", ",.*", " ").alias("name"), F.regexp_extract("raw_string", r"\(([A-Z]{2,10})\)", 1).alias("acronym"), F.get(hints(last), F.lit(0)).alias("iso2"))
 
 
-KNOWN = rf"known AS (SELECT form, arg_max(override_id, override_id) AS override_id FROM (SELECT *, {_NORM('raw_string')} AS form FROM manual_overrides) WHERE form <> '' GROUP BY form), org AS (SELECT form, min(override_id) AS override_id FROM (SELECT override_id, {_NORM('regexp_replace(raw_string, chr(44) || chr(46) || chr(42), chr(32))')} AS form FROM manual_overrides) WHERE length(form) > 10 GROUP BY form)"
 _UNIT = "^(" + "|".join(UNIT_PREFIXES) + ")"
 
 
+def _exact(c: str) -> str:
+    """exact_name in SQL; the rule for hyphens runs twice, as it takes the letters beside them."""
+    v = f"(' ' || {_NORM(c)} || ' ')"
+    for article in T.ARTICLES:
+        v = f"replace({v}, '{article}', ' ')"
+    for _ in range(2):
+        v = rf"regexp_replace({v}, '([\p{{L}}\p{{N}}_])-([\p{{L}}\p{{N}}_])', '\1 \2', 'g')"
+    return rf"trim(regexp_replace({v}, '\s+', ' ', 'g'))"
+
+
+KNOWN = rf"""known AS (SELECT form, override_id, ror_id FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY override_id DESC) AS r FROM (SELECT override_id, ror_id, {_NORM('raw_string')} AS form FROM manual_overrides)) WHERE form <> '' AND r = 1),
+  inst AS (SELECT override_id, regexp_replace(raw_string, ',.*', ' ') AS name, regexp_extract(raw_string, '\(([A-Z]{{2,10}})\)', 1) AS acronym, iso2 FROM manual_overrides LEFT JOIN countries c ON lower(c.country) = lower(regexp_replace(list_extract(string_split(raw_string, ','), -1), '{_STRIP}', '', 'g'))),
+  org AS (SELECT form, min(override_id) AS override_id FROM (SELECT override_id, {_exact('name')} AS form FROM inst) WHERE length(form) > 10 GROUP BY form),
+  acr AS (SELECT iso2, acronym, max(override_id) AS override_id FROM inst WHERE acronym <> '' AND iso2 IS NOT NULL GROUP BY ALL),
+  turn AS (SELECT iso2, min(override_id) AS k FROM inst WHERE acronym <> '' AND iso2 IS NOT NULL GROUP BY 1)"""
+
+
 def _names(spark: SparkSession, folder: str) -> DataFrame:
-    """The parts before the first comma of the reviewed strings, as names to look up."""
-    o = table(spark, folder, "manual_overrides").select(T.normal_name(F.regexp_replace("raw_string", ",.*", " ")).alias("form"), "override_id")
+    """The parts before the first comma of the reviewed strings, as names to look up; the first string of a name holds."""
+    o = institutions(spark, folder).select(T.exact_name(F.col("name")).alias("form"), "override_id")
     return o.where("length(form) > 10").groupBy("form").agg(F.min("override_id").alias("override_id"))
 
 
 def prefixes(segment):
-    """The leading runs of comma parts, longest first, normalised."""
+    """The leading runs of comma parts, longest first, in the form of exact look-ups."""
     parts = F.split(segment, ",")
-    return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: T.normal_name(F.array_join(F.slice(parts, 1, n), ", ")))
+    return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: T.exact_name(F.array_join(F.slice(parts, 1, n), ", ")))
+
+
+def _acronyms(spark: SparkSession, folder: str, d: DataFrame) -> DataFrame:
+    """Hits of segments whose first part is an acronym: in the countries they hint at, in that order, else in any country, the earliest first."""
+    o = institutions(spark, folder).where("acronym <> '' and iso2 is not null")
+    listed = o.groupBy("iso2", "acronym").agg(F.max("override_id").alias("override_id"))
+    turn = o.groupBy("iso2").agg(F.min("override_id").alias("turn"))
+    a = d.select("segment", T.strip(F.substring_index("segment", ",", 1)).alias("acronym"), hints(F.col("segment")).alias("h")).where(F.col("acronym").rlike("^[A-Z]{2,10}$"))
+    hinted = a.select("segment", "acronym", F.posexplode("h").alias("k", "iso2")).join(listed, ["iso2", "acronym"]).select("segment", "k", "override_id")
+    free = a.where(F.size("h") == 0).join(listed, "acronym").join(turn, "iso2").select("segment", F.col("turn").alias("k"), "override_id")
+    return hinted.union(free)
 
 
 def cascade(spark: SparkSession, folder: str) -> DataFrame:
-    """One row (segment, method, override_id, score) for each distinct affiliation; the first step that finds one wins.
+    """One row (segment, n, method, override_id, score) for each distinct affiliation; the first step that finds one wins.
 
-    Steps: the reviewed string itself, the longest leading run of parts that is a known
-    name, the same after a unit's label is taken off, none. All are equi-joins on forms.
+    Steps: the reviewed string itself (with or without an organisation), the longest
+    leading run of parts that is a known name, the same after a unit's label is taken
+    off, an acronym as first part. All are equi-joins on forms. What is left is scored
+    by resolved(). n is how often the affiliation occurs.
     """
-    d = segments(spark, folder).select("segment").distinct()
-    forms = d.select("segment", T.normal_name(F.col("segment")).alias("form"))
-    whole = forms.join(_known(spark, folder), "form").select("segment", F.lit(0).alias("step"), F.lit(0).alias("k"), "override_id")
+    d = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("n"))
+    d = checkpoint(d)
+    hit = lambda df, step, k="k": df.select("segment", F.lit(step).alias("step"), F.col(k).cast("bigint").alias("k"), "override_id")
+    whole = d.select("segment", T.normal_name(F.col("segment")).alias("form")).join(_known(spark, folder), "form")
+    whole = whole.select("segment", F.when(F.col("ror_id").isNull(), 0).otherwise(1).alias("step"), F.lit(0).cast("bigint").alias("k"), "override_id")
     names = _names(spark, folder)
-    walk = d.select("segment", F.posexplode(prefixes(F.col("segment"))).alias("k", "form")).join(names, "form").select("segment", F.lit(1).alias("step"), "k", "override_id")
+    walk = hit(d.select("segment", F.posexplode(prefixes(F.col("segment"))).alias("k", "form")).join(names, "form"), 2)
     rest = F.trim(F.regexp_extract("segment", r"^[^,]+,(.*)$", 1))
     cut = d.where(F.lower("segment").rlike(_UNIT) & F.col("segment").contains(",")).select("segment", rest.alias("rest")).where("length(rest) > 10")
-    cut = cut.select("segment", F.posexplode(prefixes(F.col("rest"))).alias("k", "form")).join(names, "form").select("segment", F.lit(2).alias("step"), "k", "override_id")
-    hit = whole.unionByName(walk).unionByName(cut).groupBy("segment").agg(F.min(F.struct("step", "k", "override_id")).alias("m"))
+    cut = hit(cut.select("segment", F.posexplode(prefixes(F.col("rest"))).alias("k", "form")).join(names, "form"), 3)
+    every = whole.unionByName(walk).unionByName(cut).unionByName(hit(_acronyms(spark, folder, d), 4))
+    best = every.groupBy("segment").agg(F.min(F.struct("step", "k", "override_id")).alias("m"))
     step = F.col("m.step")
-    method = F.when(step == 0, "override").when(step == 1, "exact").when(step == 2, "stripped").otherwise("unresolved")
-    out = d.join(hit, "segment", "left")
-    return out.select("segment", method.alias("method"), F.col("m.override_id").alias("override_id"), F.when(step.isNull(), 0.0).when(step == 0, 1.0).otherwise(100.0).alias("score"))
+    method = F.element_at(F.array(*map(F.lit, METHODS)), F.coalesce(step, F.lit(5)) + 1)
+    score = F.when(step == 1, 1.0).when(step >= 2, 100.0).otherwise(0.0)
+    return d.join(best, "segment", "left").select("segment", "n", method.alias("method"), F.when(step > 0, F.col("m.override_id")).alias("override_id"), score.alias("score"))
+
+
+#: The exact steps in the order in which they are tried, and what they leave.
+METHODS = ("manual_unresolvable", "manual_override", "exact", "exact_stripped", "acronym", "unresolved")
 
 
-_WALK = lambda c: f"unnest(generate_series(1, len(string_split({c}, ',')))) AS u(n) JOIN org o ON o.form = {_NORM(f'array_to_string(string_split({c}, chr(44))[1:n], chr(44) || chr(32))')}"
-CASCADE = rf"""{SEGMENTS}, {KNOWN}, d AS (SELECT DISTINCT segment FROM seg), cut AS (SELECT segment, trim(regexp_extract(segment, '^[^,]+,(.*)$', 1)) AS rest FROM d WHERE regexp_matches(lower(segment), '{_UNIT}') AND contains(segment, ',')),
-  hit AS (SELECT segment, 0 AS step, 0 AS k, override_id FROM d JOIN known ON form = {_NORM('segment')} UNION ALL SELECT segment, 1, len(string_split(segment, ',')) - n, o.override_id FROM d, {_WALK('segment')}
-    UNION ALL SELECT segment, 2, len(string_split(rest, ',')) - n, o.override_id FROM (SELECT * FROM cut WHERE length(rest) > 10) q, {_WALK('rest')}),
+_WALK = lambda c: f"unnest(generate_series(1, len(string_split({c}, ',')))) AS u(i) JOIN org o ON o.form = {_exact(f'array_to_string(string_split({c}, chr(44))[1:i], chr(44) || chr(32))')}"
+_FIRST = f"regexp_replace(string_split(segment, ',')[1], '{_STRIP}', '', 'g')"
+CASCADE = rf"""{SEGMENTS}, {SQL_COUNTRIES}, {KNOWN}, d AS (SELECT segment, count(*) AS n FROM seg GROUP BY segment), {HINTS}, cut AS (SELECT segment, trim(regexp_extract(segment, '^[^,]+,(.*)$', 1)) AS rest FROM d WHERE regexp_matches(lower(segment), '{_UNIT}') AND contains(segment, ',')),
+  hit AS (SELECT segment, CASE WHEN ror_id IS NULL THEN 0 ELSE 1 END AS step, 0 AS k, override_id FROM d JOIN known ON form = {_NORM('segment')} UNION ALL SELECT segment, 2, len(string_split(segment, ',')) - i, o.override_id FROM d, {_WALK('segment')}
+    UNION ALL SELECT segment, 3, len(string_split(rest, ',')) - i, o.override_id FROM (SELECT * FROM cut WHERE length(rest) > 10) q, {_WALK('rest')}
+    UNION ALL SELECT d.segment, 4, h.k, acr.override_id FROM d JOIN hinted h USING (segment) JOIN acr ON acr.iso2 = h.iso2 AND acr.acronym = {_FIRST}
+    UNION ALL SELECT d.segment, 4, turn.k, acr.override_id FROM d JOIN acr ON acr.acronym = {_FIRST} JOIN turn USING (iso2) WHERE d.segment NOT IN (SELECT segment FROM hinted)),
   best AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY step, k, override_id) AS r FROM hit),
-  resolved AS (SELECT d.segment, CASE step WHEN 0 THEN 'override' WHEN 1 THEN 'exact' WHEN 2 THEN 'stripped' ELSE 'unresolved' END AS method, override_id, CASE WHEN step IS NULL THEN 0.0 WHEN step = 0 THEN 1.0 ELSE 100.0 END::DOUBLE AS score FROM d LEFT JOIN (SELECT * FROM best WHERE r = 1) b USING (segment))"""
+  resolved AS (SELECT d.segment, d.n, {METHODS}[coalesce(step, 5) + 1] AS method, CASE WHEN step > 0 THEN override_id END AS override_id, CASE WHEN step = 1 THEN 1.0 WHEN step >= 2 THEN 100.0 ELSE 0.0 END::DOUBLE AS score FROM d LEFT JOIN (SELECT * FROM best WHERE r = 1) b USING (segment))""".replace(str(METHODS), str(list(METHODS)))
 
 
 @query(f"WITH {CASCADE} SELECT segment, method, override_id, score FROM resolved")
 def override_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    """Each distinct affiliation with the reviewed organisation it resolves to, and by which step."""
-    return cascade(spark, folder)
+    """Each distinct affiliation with the known organisation it resolves to by the exact steps, and by which."""
+    return cascade(spark, folder).drop("n")
 
 
-@query(f"WITH {CASCADE} SELECT method, count(*) AS n_segments, sum(n)::BIGINT AS n_uses FROM resolved JOIN (SELECT segment, count(*) AS n FROM seg GROUP BY 1) USING (segment) GROUP BY method")
+@query(f"WITH {CASCADE} SELECT method, count(*) AS n_segments, sum(n)::BIGINT AS n_uses FROM resolved GROUP BY method")
 def method_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """How many affiliations each step resolves, distinct and in all."""
-    n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("n"))
-    return cascade(spark, folder).join(n, "segment").groupBy("method").agg(F.count("*").alias("n_segments"), F.sum("n").alias("n_uses"))
+    """How many affiliations each exact step resolves, distinct and in all."""
+    return cascade(spark, folder).groupBy("method").agg(F.count("*").alias("n_segments"), F.sum("n").alias("n_uses"))
 
 
-@query(f"""WITH {CASCADE}, j AS (SELECT seg.row_id, seg.pos, r.method, r.override_id FROM seg JOIN resolved r USING (segment)), o AS (SELECT row_id, override_id, min(pos) AS pos FROM j WHERE override_id IS NOT NULL GROUP BY ALL)
-  SELECT j.row_id, count(*) AS n_segments, count(j.override_id) AS n_matched, coalesce(any_value(ids), '') AS ids FROM j LEFT JOIN (SELECT row_id, string_agg(override_id::VARCHAR, ';' ORDER BY pos, override_id) AS ids FROM o GROUP BY row_id) USING (row_id) GROUP BY j.row_id""")
+def roll_up(found: DataFrame, places: DataFrame) -> DataFrame:
+    """For each record its affiliations, how many are resolved, and the organisations, methods and countries in order, each organisation at its first sight.
+
+    found: row_id, pos, method, override_id. places: override_id, iso2. What is gathered
+    for a record comes from its one cell.
+    """
+    one = F.struct("pos", "override_id", "method", "iso2")
+    g = found.join(places, "override_id", "left").groupBy("row_id").agg(F.count("*").alias("n_segments"), F.count("override_id").alias("n_matched"), F.array_sort(F.collect_list(F.when(F.col("override_id").isNotNull(), one))).alias("l"))
+    g = g.withColumn("ids", F.col("l.override_id"))
+    first = F.filter("l", lambda x, i: F.array_position(F.col("ids"), x["override_id"]) == i + 1)
+    g = g.withColumn("l", first)
+    joined = lambda c: F.array_join(c, ";")
+    countries_ = F.array_distinct(F.filter("l.iso2", lambda x: x.isNotNull()))
+    return g.select("row_id", "n_segments", "n_matched", joined(F.transform("l.override_id", lambda x: x.cast("string"))).alias("ids"), joined("l.method").alias("methods"), joined(countries_).alias("countries"))
+
+
+@query(f"""WITH {CASCADE}, j AS (SELECT seg.row_id, seg.pos, r.method, r.override_id, i.iso2 FROM seg JOIN resolved r USING (segment) LEFT JOIN inst i USING (override_id)),
+  o AS (SELECT row_id, override_id, min(pos) AS pos, arg_min(method, pos) AS method, any_value(iso2) AS iso2 FROM j WHERE override_id IS NOT NULL GROUP BY ALL),
+  c AS (SELECT row_id, iso2, min((pos, override_id)) AS pos FROM o WHERE iso2 IS NOT NULL GROUP BY ALL)
+  SELECT j.row_id, count(*) AS n_segments, count(j.override_id) AS n_matched, coalesce(any_value(x.ids), '') AS ids, coalesce(any_value(x.methods), '') AS methods, coalesce(any_value(y.countries), '') AS countries
+  FROM j LEFT JOIN (SELECT row_id, string_agg(override_id::VARCHAR, ';' ORDER BY pos, override_id) AS ids, string_agg(method, ';' ORDER BY pos, override_id) AS methods FROM o GROUP BY row_id) x USING (row_id)
+  LEFT JOIN (SELECT row_id, string_agg(iso2, ';' ORDER BY pos) AS countries FROM c GROUP BY row_id) y USING (row_id) GROUP BY j.row_id""")
 def record_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """For each record: its affiliations, how many are resolved, and to which organisations in order."""
-    j = segments(spark, folder).join(cascade(spark, folder), "segment")
-    counts = j.groupBy("row_id").agg(F.count("*").alias("n_segments"), F.count("override_id").alias("n_matched"))
-    firsts = j.where("override_id is not null").groupBy("row_id", "override_id").agg(F.min("pos").alias("pos"))
-    ids = firsts.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "override_id"))), lambda x: x["override_id"].cast("string")), ";").alias("ids"))
-    return counts.join(ids, "row_id", "left").select("row_id", "n_segments", "n_matched", F.coalesce("ids", F.lit("")).alias("ids"))
+    """For each record: its affiliations, how many are resolved, and to which organisations, by which steps and in which countries, in order."""
+    found = segments(spark, folder).join(cascade(spark, folder).select("segment", "method", "override_id"), "segment")
+    return roll_up(found, institutions(spark, folder).select("override_id", "iso2"))
 
 
-_INST = r"(^|[^\p{L}\p{N}])(" + "|".join(INSTITUTION_WORDS) + r")([^\p{L}\p{N}]|$)"
-_POST = r"\b(p\.?o\.?\s*box|\d{4,6})\b"
+_STUB_WORDS = lambda c: rf"string_split_regex({c}, '[^\p{{L}}\p{{N}}_]+')"
+_INST = lambda c: f"list_has_any({_STUB_WORDS(c)}, {list(INSTITUTION_WORDS)})"
+_PLACES = f"(SELECT lower(country) FROM countries UNION ALL SELECT lower(official) FROM countries UNION ALL SELECT unnest({[n.replace(chr(39), chr(39) * 2) for n in OTHER_NAMES]}))".replace('"', "'")
+_POSTAL = f"(len(list_filter({_STUB_WORDS('v')}, lambda x: regexp_matches(x, '^[0-9]{{4,6}}$'))) > 0 OR contains(' ' || array_to_string({_STUB_WORDS('v')}, ' ') || ' ', ' po box ') OR contains(' ' || array_to_string({_STUB_WORDS('v')}, ' ') || ' ', ' p o box '))"
 
 
 @query(rf"""WITH {SQL_COUNTRIES}, s AS (SELECT override_id, lower(trim(raw_string)) AS v, list_transform(string_split(lower(trim(raw_string)), ','), lambda x: trim(x)) AS p FROM manual_overrides)
-  SELECT override_id, CASE WHEN v IN (SELECT lower(country) FROM countries) THEN 'country' WHEN len(p) = 2 AND p[2] IN (SELECT lower(country) FROM countries) AND NOT regexp_matches(p[1], '{_INST}') THEN 'city and country'
-    WHEN regexp_matches(v, '{_POST}') AND NOT regexp_matches(v, '{_INST}') THEN 'address' WHEN p[1] IN {ROLES} THEN 'role' END AS stub FROM s""")
+  SELECT override_id, CASE WHEN v IN {_PLACES} THEN 'country' WHEN len(p) = 2 AND p[2] IN {_PLACES} AND NOT {_INST('p[1]')} THEN 'city and country'
+    WHEN {_POSTAL} AND NOT {_INST('v')} THEN 'address' WHEN p[1] IN {ROLES} THEN 'role' END AS stub FROM s""")
 def stub_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Reviewed strings that name no institution: a country, a place, an address, or a role; the first that fits."""
-    known = [r.n for r in countries(spark).select(F.lower("country").alias("n")).collect()]
+    """Reviewed strings that name no institution: a country, a place, an address, or a role; the first that fits.
+
+    A string names an institution if one of its words is on the list of such words. An
+    address holds a number of four to six digits or a post box.
+    """
+    known = sorted({n.lower() for r in country_rows() for n in (r[2], r[3])} | set(OTHER_NAMES))
     v = F.lower(F.trim("raw_string"))
     p = F.transform(F.split(v, ","), lambda x: F.trim(x))
-    inst = v.rlike(_INST)
+    words = lambda c: F.split(c, r"[^\p{L}\p{N}_]+")
+    inst = lambda c: F.arrays_overlap(words(c), F.array(*map(F.lit, INSTITUTION_WORDS)))
+    line = F.concat(F.lit(" "), F.array_join(words(v), " "), F.lit(" "))
+    postal = F.exists(words(v), lambda w: w.rlike("^[0-9]{4,6}$")) | line.contains(" po box ") | line.contains(" p o box ")
     stub = (
         F.when(v.isin(known), "country")
-        .when((F.size(p) == 2) & F.get(p, F.lit(1)).isin(known) & ~F.get(p, F.lit(0)).rlike(_INST), "city and country")
-        .when(v.rlike(_POST) & ~inst, "address")
+        .when((F.size(p) == 2) & F.get(p, F.lit(1)).isin(known) & ~inst(F.get(p, F.lit(0))), "city and country")
+        .when(postal & ~inst(v), "address")
         .when(F.get(p, F.lit(0)).isin(*ROLES), "role")
     )
     return table(spark, folder, "manual_overrides").select("override_id", stub.alias("stub"))
@@ -173,8 +246,7 @@ def review_queue(spark: SparkSession, folder: str) -> DataFrame:
 
     Names are scored by the best-window ratio. One whose country has no known name comes once, without a name.
     """
-    n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq")).where("freq >= 5")
-    open_ = checkpoint(cascade(spark, folder).where("method = 'unresolved'").join(n, "segment").select("segment", "freq", T.normal_name(F.col("segment")).alias("x")))
+    open_ = checkpoint(cascade(spark, folder).where("method = 'unresolved' and n >= 5").select("segment", F.col("n").alias("freq"), T.normal_name(F.col("segment")).alias("x")))
     scored = _scored(spark, folder, open_, 3)
     best = Window.partitionBy("segment").orderBy(F.desc("score"), "override_id")
     return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 3").select("segment", "freq", "rank", "override_id", F.round("score", 6).alias("score"))
@@ -210,83 +282,105 @@ def short_labels(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("segment", T.cut_words(t, 30).alias("label"))
 
 
-def _place(text):
-    return F.lower(T.strip(F.element_at(F.split(text, ","), -1)))
-
-
 def _scored(spark: SparkSession, folder: str, open_: DataFrame, k: int) -> DataFrame:
-    """Rows (segment, override_id, freq, score): affiliations with at least the k most similar of all known names of their country.
+    """Rows (segment, override_id, freq, score): affiliations with at least the k most similar of all known names of the countries they hint at.
 
-    Distinct spellings meet the country's distinct names block by block; names are left
+    Distinct spellings meet a country's distinct names block by block; names are left
     out only where an upper bound of their ratio is below the k-th best. An affiliation
-    without any name has one row without override_id and score.
+    without a hint, or without any name, has one row without override_id and score.
     """
-    place = _place(F.col("raw_string"))
-    names = table(spark, folder, "manual_overrides").select(T.normal_name(F.regexp_replace("raw_string", ",.*", " ")).alias("y"), place.alias("place"), "override_id")
-    names = names.where("length(y) > 10").groupBy("place", "y").agg(F.min("override_id").alias("override_id"))
-    open_ = open_.withColumn("place", _place(F.col("segment")))
-    texts = open_.select("place", "x").distinct()
+    names = institutions(spark, folder).select(T.normal_name(F.col("name")).alias("y"), "iso2", "override_id").where("iso2 is not null and length(y) > 10")
+    names = names.groupBy("iso2", "y").agg(F.min("override_id").alias("override_id"))
+    open_ = open_.withColumn("h", hints(F.col("segment")))
+    texts = open_.select(F.explode("h").alias("iso2"), "x").distinct()
 
     def blocks(df: DataFrame, item, name: str) -> DataFrame:
-        n = df.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-        return df.join(n, "place").groupBy("place", F.pmod(F.xxhash64(*df.columns), F.col("n")).alias(f"{name}_block")).agg(F.collect_list(item).alias(name))
+        n = df.groupBy("iso2").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+        return df.join(n, "iso2").groupBy("iso2", F.pmod(F.xxhash64(*df.columns), F.col("n")).alias(f"{name}_block")).agg(F.collect_list(item).alias(name))
 
-    pairs = blocks(texts, F.col("x"), "texts").join(blocks(names, F.struct("y", "override_id"), "names"), "place")
-    pairs = pairs.repartition(partitions(spark), "place", "texts_block", "names_block").select("place", "texts", "names")
+    pairs = blocks(texts, F.col("x"), "texts").join(blocks(names, F.struct("y", "override_id"), "names"), "iso2")
+    pairs = pairs.repartition(partitions(spark), "iso2", "texts_block", "names_block").select(F.col("iso2").alias("place"), "texts", "names")
     best = pairs.mapInArrow(_best(k), "x string, place string, override_id bigint, score double")
-    return open_.join(best, ["x", "place"], "left").select("segment", "override_id", "freq", "score")
+    each = open_.select("segment", "freq", "x", F.explode_outer("h").alias("place"))
+    out = each.join(best, ["x", "place"], "left").select("segment", "override_id", "freq", "score")
+    # where one of several countries has no name the others' rows are enough
+    some = F.max(F.col("override_id").isNotNull()).over(Window.partitionBy("segment"))
+    return out.withColumn("some", some).where("override_id is not null or not some").drop("some").distinct()
 
 
-@query()
-def fuzzy_match_top2(spark: SparkSession, folder: str) -> DataFrame:
-    """Unresolved affiliations with their best known name of their country by the best-window ratio, and how it's judged.
-
-    Accepted at 92 or more if it leads the next name by 5; of several perfect ones the
-    first is taken and marked so; all else stays unresolved.
-    """
-    n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq"))
-    open_ = checkpoint(cascade(spark, folder).where("method = 'unresolved'").join(n, "segment").select("segment", "freq", T.normal_name(F.col("segment")).alias("x")))
+def _judged(spark: SparkSession, folder: str, open_: DataFrame) -> DataFrame:
+    """Rows (segment, freq, best, next, method, first_id) of scored affiliations."""
     order = Window.partitionBy("segment").orderBy(F.desc("score"), "override_id")
     top = _scored(spark, folder, open_, 2).withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("segment", "freq").agg(
         F.max(F.when(F.col("r") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("next"), F.max(F.when(F.col("r") == 1, F.col("override_id"))).alias("first_id")
     )
     gap = F.col("best") - F.coalesce("next", F.lit(0.0))
     method = F.when((F.col("best") >= 92) & (gap >= 5), "fuzzy").when((F.col("best") == 100) & (F.col("next") == 100), "fuzzy_tiebreak_first").when(F.col("best") == 100, "fuzzy_tiebreak").otherwise("unresolved")
-    return top.select("segment", "freq", F.round("best", 6).alias("best"), F.round("next", 6).alias("next"), method.alias("method"), F.when(method != "unresolved", F.col("first_id")).alias("override_id"))
+    return top.withColumn("method", method)
+
+
+@query()
+def fuzzy_match_top2(spark: SparkSession, folder: str) -> DataFrame:
+    """Unresolved affiliations with their best known name of their countries by the best-window ratio, and how it's judged.
+
+    Accepted at 92 or more if it leads the next name by 5; of several perfect ones the
+    first is taken and marked so; all else stays unresolved. All candidates are of a
+    country that is hinted at, so none can be preferred for its country.
+    """
+    open_ = checkpoint(cascade(spark, folder).where("method = 'unresolved'").select("segment", F.col("n").alias("freq"), T.normal_name(F.col("segment")).alias("x")))
+    top = _judged(spark, folder, open_)
+    return top.select("segment", "freq", F.round("best", 6).alias("best"), F.round("next", 6).alias("next"), "method", F.when(F.col("method") != "unresolved", F.col("first_id")).alias("override_id"))
+
+
+def resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """All steps of the cascade, the scored ones last: segment, n, method, override_id, score."""
+    done = checkpoint(cascade(spark, folder))
+    open_ = done.where("method = 'unresolved'").select("segment", F.col("n").alias("freq"), T.normal_name(F.col("segment")).alias("x"))
+    top = _judged(spark, folder, open_)
+    found = top.select("segment", F.col("freq").alias("n"), "method", F.when(F.col("method") != "unresolved", F.col("first_id")).alias("override_id"), F.coalesce("best", F.lit(0.0)).alias("score"))
+    return done.where("method <> 'unresolved'").unionByName(found)
+
+
+@query()
+def affiliation_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Each distinct affiliation with the known organisation it resolves to by all steps, by which, and the score to two digits."""
+    return resolved(spark, folder).select("segment", "n", "method", "override_id", F.format_string("%.2f", "score").alias("score"))
+
 
+@query()
+def standardised_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The roll-up of each record by all steps."""
+    found = segments(spark, folder).join(resolved(spark, folder).select("segment", "method", "override_id"), "segment")
+    return roll_up(found, institutions(spark, folder).select("override_id", "iso2"))
 
-@query(rf"""WITH {SEGMENTS}, d AS (SELECT DISTINCT segment FROM seg WHERE regexp_matches(segment, '(^|,)\s*\p{{Lu}}{{5,10}}\s*,')), a AS (SELECT segment, upper(regexp_extract(segment, '(?:^|,)\s*(\p{{Lu}}{{5,10}})\s*,', 1)) AS acronym FROM d),
-  o AS (SELECT regexp_extract(raw_string, '\(([A-Z]{{5,10}})\)', 1) AS acronym, min(override_id) AS override_id FROM manual_overrides WHERE regexp_matches(raw_string, '\([A-Z]{{5,10}}\)') GROUP BY 1)
-  SELECT a.segment, a.acronym, o.override_id FROM a LEFT JOIN o USING (acronym)""")
+
+@query(rf"""WITH {SEGMENTS}, {SQL_COUNTRIES}, {KNOWN}, d AS (SELECT DISTINCT segment FROM seg), {HINTS}, a AS (SELECT segment, {_FIRST} AS acronym FROM d WHERE regexp_matches({_FIRST}, '^[A-Z]{{2,10}}$')),
+  hit AS (SELECT segment, h.k, acr.override_id FROM a JOIN hinted h USING (segment) JOIN acr USING (iso2, acronym) UNION ALL SELECT segment, turn.k, acr.override_id FROM a JOIN acr USING (acronym) JOIN turn USING (iso2) WHERE segment NOT IN (SELECT segment FROM hinted))
+  SELECT a.segment, acronym, arg_min(override_id, (k, override_id)) AS override_id FROM a LEFT JOIN hit USING (segment) GROUP BY ALL""")
 def acronym_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Affiliations with a part that is only capitals, and the reviewed string that gives that acronym in brackets."""
-    d = segments(spark, folder).select("segment").distinct().where(F.col("segment").rlike(r"(^|,)\s*\p{Lu}{5,10}\s*,"))
-    a = d.select("segment", F.upper(F.regexp_extract("segment", r"(?:^|,)\s*(\p{Lu}{5,10})\s*,", 1)).alias("acronym"))
-    o = table(spark, folder, "manual_overrides").where(F.col("raw_string").rlike(r"\([A-Z]{5,10}\)"))
-    o = o.groupBy(F.regexp_extract("raw_string", r"\(([A-Z]{5,10})\)", 1).alias("acronym")).agg(F.min("override_id").alias("override_id"))
-    return a.join(o, "acronym", "left").select("segment", "acronym", "override_id")
+    """Affiliations whose first part is an acronym of two to ten capitals, and the known organisation that gives it in brackets."""
+    d = segments(spark, folder).select("segment").distinct()
+    a = d.select("segment", T.strip(F.substring_index("segment", ",", 1)).alias("acronym")).where(F.col("acronym").rlike("^[A-Z]{2,10}$"))
+    hit = _acronyms(spark, folder, d).groupBy("segment").agg(F.min(F.struct("k", "override_id"))["override_id"].alias("override_id"))
+    return a.join(hit, "segment", "left").select("segment", "acronym", "override_id")
 
 
-@query(f"""WITH {CASCADE}, n AS (SELECT segment, count(*) AS freq FROM seg GROUP BY 1), b AS (SELECT segment, method AS new_method, CASE WHEN method = 'stripped' THEN 'unresolved' ELSE method END AS old_method FROM resolved)
-  SELECT old_method, new_method, count(*) AS n_segments, sum(freq)::BIGINT AS n_uses FROM b JOIN n USING (segment) GROUP BY ALL""")
+@query(f"""WITH {CASCADE}, b AS (SELECT segment, n, method AS new_method, CASE WHEN method = 'exact_stripped' THEN 'unresolved' ELSE method END AS old_method FROM resolved)
+  SELECT old_method, new_method, count(*) AS n_segments, sum(n)::BIGINT AS n_uses FROM b GROUP BY ALL""")
 def rule_impact(spark: SparkSession, folder: str) -> DataFrame:
     """What taking off unit labels changes: each affiliation's method without that step and with it, weighted by use."""
     new = cascade(spark, folder)
-    old = new.select("segment", F.when(F.col("method") == "stripped", "unresolved").otherwise(F.col("method")).alias("old_method"))
-    n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq"))
-    both = old.join(new.select("segment", F.col("method").alias("new_method")), "segment", "full_outer").join(n, "segment")
-    return both.groupBy("old_method", "new_method").agg(F.count("*").alias("n_segments"), F.sum("freq").alias("n_uses"))
+    old = F.when(F.col("method") == "exact_stripped", "unresolved").otherwise(F.col("method"))
+    return new.groupBy(old.alias("old_method"), F.col("method").alias("new_method")).agg(F.count("*").alias("n_segments"), F.sum("n").alias("n_uses"))
 
 
-@query(rf"""WITH {CASCADE}, {SQL_COUNTRIES}, n AS (SELECT segment, count(*) AS freq FROM seg GROUP BY 1), c AS (SELECT r.segment, freq, lower(regexp_replace(list_extract(string_split(r.segment, ','), -1), '{_STRIP}', '', 'g')) IN (SELECT lower(country) FROM countries) AS listed FROM resolved r JOIN n USING (segment) WHERE method = 'unresolved')
-  SELECT listed, count(*) AS n_segments, sum(freq)::BIGINT AS n_uses, round(100 * sum(freq) / sum(sum(freq)) OVER (), 6) AS share FROM c GROUP BY listed""")
+@query(rf"""WITH {CASCADE}, c AS (SELECT segment, n, lower(regexp_replace(list_extract(string_split(segment, ','), -1), '{_STRIP}', '', 'g')) IN (SELECT lower(country) FROM countries) AS listed FROM resolved WHERE method = 'unresolved')
+  SELECT listed, count(*) AS n_segments, sum(n)::BIGINT AS n_uses, round(100 * sum(n) / sum(sum(n)) OVER (), 6) AS share FROM c GROUP BY listed""")
 def review_split(spark: SparkSession, folder: str) -> DataFrame:
     """Unresolved affiliations of the listed countries and of others, with their share of uses."""
-    n = segments(spark, folder).groupBy("segment").agg(F.count("*").alias("freq"))
     last = F.lower(T.strip(F.element_at(F.split("segment", ","), -1)))
-    known = countries(spark).select(F.lower("country").alias("c"), F.lit(True).alias("hit"))
-    u = cascade(spark, folder).where("method = 'unresolved'").select("segment").join(n, "segment").withColumn("c", last).join(F.broadcast(known), "c", "left")
-    g = u.groupBy(F.coalesce("hit", F.lit(False)).alias("listed")).agg(F.count("*").alias("n_segments"), F.sum("freq").alias("n_uses"))
+    u = cascade(spark, folder).where("method = 'unresolved'").withColumn("listed", last.isin([r[2].lower() for r in country_rows()]))
+    g = u.groupBy("listed").agg(F.count("*").alias("n_segments"), F.sum("n").alias("n_uses"))
     return g.withColumn("share", F.round(100 * F.col("n_uses") / F.sum("n_uses").over(Window.partitionBy()), 6))
 
 

@@ -447,3 +447,35 @@ def test_three_passes_against_brute_force(spark, tmp_path):
     alone = {r[0]: r[7] for r in rows}
     assert all(v == merged[k] or (v == alone[k] == "x") for k, v in kept.items())
     assert plans.full_reconciliation(spark, str(tmp_path)).first().adds_up
+
+
+def test_cascade_of_hand_made_affiliations(spark, tmp_path):
+    from marula.plans import affiliations
+
+    o = [(1, "Reviewed Thing, Accra, Ghana", "r1"), (2, "Nowhere at all, Ghana", None), (3, "University of Cape-Coast (UCC), Ghana", None), (4, "Kenya Marine Institute, Kenya", None),
+         (5, "Kenya Marine Institute, Mombasa, Kenya", None), (6, "Uganda Crop Council (UCC), Uganda", None), (7, "Kenya Marine Institutes, Kenya", None), (8, "Reviewed Thing, Accra, Ghana", "r8")]
+    s = {
+        "reviewed thing, ACCRA,  Ghana": ("manual_override", 8), "Nowhere at all, Ghana": ("manual_unresolvable", None), "Kenya Marine Institute, Mombasa, Kenya": ("manual_unresolvable", None),
+        "Kenya Marine Institute, Lab 3, Kenya": ("exact", 4), "Faculty of Law, Kenya Marine Institute, Nairobi, Kenya": ("exact_stripped", 4), "Faculty of Law, Kenya": ("unresolved", None),
+        "UCC, Ghana": ("acronym", 3), "UCC, Uganda": ("acronym", 6), "UCC, Elsewhere": ("acronym", 3), "ucc, Ghana": ("unresolved", None), "U, Ghana": ("unresolved", None),
+        "Kenya Marine Institutess, Kenya": ("unresolved", None), "Universty of Cape-Coast (UCC), Ghana": ("unresolved", None),
+    }
+    spark.createDataFrame(o, "override_id bigint, raw_string string, ror_id string").write.parquet(f"{tmp_path}/manual_overrides.parquet")
+    rows = [(i, x) for i, x in enumerate(s)] + [(90, "UCC, Uganda; UCC, Ghana; UCC, Uganda;; Nowhere at all, Ghana"), (91, None), (92, " ; ")]
+    spark.createDataFrame(rows, "row_id bigint, affiliations string").write.parquet(f"{tmp_path}/raw_publications.parquet")
+    got = {r.segment: (r.method, r.override_id) for r in affiliations.override_cascade(spark, str(tmp_path)).collect()}
+    assert got == s
+    every = {r.segment: r.method for r in affiliations.affiliation_cascade(spark, str(tmp_path)).collect()}
+    assert every.keys() == s.keys() and all(every[k] == v[0] for k, v in s.items() if v[0] != "unresolved")
+    assert every["Universty of Cape-Coast (UCC), Ghana"] == "fuzzy"
+    up = {r.row_id: tuple(r)[1:] for r in affiliations.record_rollup(spark, str(tmp_path)).collect()}
+    assert up[90] == (4, 3, "6;3", "acronym;acronym", "UG;GH") and 91 not in up and 92 not in up
+
+
+def test_exact_name_and_title_case(spark):
+    from marula.functions import text
+
+    df = spark.createDataFrame([("University of the North-West",), ("Bank of X",), ("Université de la Paix",), ("o'neil-smith jOURNAL (x)",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(text.exact_name(df.t), text.title_case(df.t)).collect()]
+    assert [g[0] for g in got] == ["university north west", "bank of x", "université paix", "o neil smith journal x", None]
+    assert got[3][1] == "O'Neil-Smith Journal (X)" and got[4][1] is None
