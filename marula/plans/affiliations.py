@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from marula.functions import text as T
 from marula.operators.records import best_partial
-from marula.plans.dims import INSTITUTION_WORDS, OTHER_NAMES, ROLES, SQL_COUNTRIES, UNIT_PREFIXES, countries, country_rows
+from marula.plans.dims import INSTITUTION_WORDS, LABEL_ENDS, OTHER_NAMES, ROLES, SHORT_NAMES, SQL_COUNTRIES, UNIT_PREFIXES, countries, country_rows
+from marula.plans.records import PUBS, publications
 from marula.plans.registry import query
 from marula.session import checkpoint, partitions, table
 
@@ -271,15 +272,21 @@ def like_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(~F.arrays_overlap("f", "longer")).groupBy("country").agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {SEGMENTS}, s AS (SELECT DISTINCT segment FROM seg), p AS (SELECT segment, regexp_replace(regexp_replace(regexp_replace(segment, '\s*\([^)]*\)', '', 'g'), '(?i)\buniversity\b', 'Univ.', 'g'), '(?i)\buniversities\b', 'Univs.', 'g') AS t FROM s),
-  c AS (SELECT segment, CASE WHEN regexp_matches(t, '^\p{{Ll}}') THEN upper(t[1]) || t[2:] ELSE t END AS t FROM p), k AS (SELECT segment, t, regexp_extract(t || ' ', '^(.{{1,30}})\s', 1) AS x FROM c)
+#: Listed ends of a label, of which later ones may stand before earlier ones.
+_ENDS = "(?i)" + "".join(rf"(?:\s*{end})?" for end in reversed(LABEL_ENDS)) + "$"
+
+
+@query(rf"""WITH {SEGMENTS}, s AS (SELECT DISTINCT segment FROM seg), m(long, short) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in SHORT_NAMES.items())}), p AS (SELECT segment, regexp_replace(regexp_replace(trim(regexp_replace(segment, '\s*\([^)]*\)', '', 'g')), '(?i)\buniversity\b', 'Univ.', 'g'), '(?i)\buniversities\b', 'Univs.', 'g') AS t FROM s),
+  e AS (SELECT segment, trim(regexp_replace(t, '{_ENDS}', '')) AS t FROM p), c AS (SELECT segment, CASE WHEN short IS NOT NULL THEN short WHEN regexp_matches(t, '^\p{{Ll}}') THEN upper(t[1]) || t[2:] ELSE t END AS t FROM e LEFT JOIN m ON long = lower(t)), k AS (SELECT segment, t, regexp_extract(t || ' ', '^(.{{1,30}})\s', 1) AS x FROM c)
   SELECT segment, CASE WHEN length(t) <= 30 THEN t WHEN x = '' THEN substring(t, 1, 30) ELSE trim(x) END AS label FROM k""")
 def short_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels for charts: no brackets, short forms, a capital first, at most 30 characters of whole words."""
+    """Labels for charts: no brackets, short forms, listed places off the end, listed short names, a capital first, at most 30 characters of whole words."""
     s = segments(spark, folder).select("segment").distinct()
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("segment", r"\s*\([^)]*\)", ""), r"(?i)\buniversity\b", "Univ."), r"(?i)\buniversities\b", "Univs.")
-    t = F.when(t.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))).otherwise(t)
-    return s.select("segment", T.cut_words(t, 30).alias("label"))
+    t = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("segment", r"\s*\([^)]*\)", "")), r"(?i)\buniversity\b", "Univ."), r"(?i)\buniversities\b", "Univs.")
+    s = s.select("segment", F.trim(F.regexp_replace(t, _ENDS, "")).alias("t"))
+    short = F.try_element_at(F.create_map(*(F.lit(v) for pair in SHORT_NAMES.items() for v in pair)), F.lower("t"))
+    capital = F.when(F.col("t").rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring("t", 1, 1)), F.substring("t", 2, 1 << 30))).otherwise(F.col("t"))
+    return s.select("segment", F.coalesce(short, capital).alias("t")).select("segment", T.cut_words(F.col("t"), 30).alias("label"))
 
 
 def _scored(spark: SparkSession, folder: str, open_: DataFrame, k: int) -> DataFrame:
@@ -393,3 +400,14 @@ def two_key_country_join(spark: SparkSession, folder: str) -> DataFrame:
     t = t.join(F.broadcast(c.select(F.col("country").alias("name"), F.col("subregion").alias("x"))), "name", "left")
     t = t.join(F.broadcast(c.select(F.col("official").alias("name"), F.col("subregion").alias("y"))), "name", "left")
     return t.select("override_id", "name", F.coalesce("x", "y").alias("subregion"))
+
+
+@query(f"""WITH {CASCADE}, {PUBS}, x AS (SELECT DISTINCT seg.row_id, r.override_id FROM seg JOIN resolved r USING (segment) WHERE override_id IS NOT NULL), t AS (SELECT override_id, count(*) AS n, sum(cites) AS c FROM x JOIN pubs USING (row_id) GROUP BY 1)
+  SELECT t.override_id, trim(i.name) AS name, i.iso2 AS country, n, round(c, 3) AS citations, round(c / n, 6) AS per_record FROM t JOIN inst i USING (override_id) ORDER BY n DESC, override_id LIMIT 30""")
+def top_institutions(spark: SparkSession, folder: str) -> DataFrame:
+    """The thirty known organisations with most records by the exact steps; unknown ones drop out before the limit, ties go to the smaller id."""
+    found = segments(spark, folder).join(cascade(spark, folder).where("override_id is not null").select("segment", "override_id"), "segment")
+    x = found.select("row_id", "override_id").distinct().join(publications(spark, folder).select("row_id", "cites"), "row_id")
+    t = x.groupBy("override_id").agg(F.count("*").alias("n"), F.sum("cites").alias("c")).join(institutions(spark, folder), "override_id")
+    t = t.orderBy(F.desc("n"), "override_id").limit(30)
+    return t.select("override_id", F.trim("name").alias("name"), F.col("iso2").alias("country"), "n", F.round("c", 3).alias("citations"), F.round(F.col("c") / F.col("n"), 6).alias("per_record"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marula.operators import measures as M
-from marula.plans.dims import countries, goals
+from marula.plans.dims import SQL_GOALS, countries, goals
 from marula.plans.indicators import BY_COUNTRY, by_country
 from marula.plans.registry import query
 
@@ -50,8 +50,7 @@ def inclusion(spark: SparkSession, folder: str) -> DataFrame:
   rank() OVER (PARTITION BY country ORDER BY score) + (count(*) OVER (PARTITION BY country, score) - 1) / 2.0 AS y FROM p) SELECT country, round(corr(x, y), 6) AS rho, count(*) AS n FROM r GROUP BY country HAVING count(*) >= 10""")
 def spearman_by_country(spark: SparkSession, folder: str) -> DataFrame:
     """Rank correlation of share and score of each country with at least ten pairs."""
-    rho = M.spearman(panel(spark, folder).where("share > 0"), ["country"], "share", "score")
-    return rho.where("n >= 10").select("country", F.round("rho", 6).alias("rho"), "n")
+    return correlations(spark, folder).select("country", F.round("rho", 6).alias("rho"), "n")
 
 
 def bootstrap(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -151,11 +150,50 @@ def goal_neglect(spark: SparkSession, folder: str) -> DataFrame:
     return _median(spark, folder).groupBy("goal").agg(F.round(d, 6).alias("med_deficit"), F.round(s, 6).alias("med_share"), F.round(d - 1000 * s, 4).alias("neglect"), F.count_if(F.col("quadrant") == "HL").alias("over_researched"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_MED}, a AS (SELECT median(share) AS every FROM q), r AS (SELECT c.subregion, median(q.share) AS s, avg(q.deficit) AS d, count(*) AS n FROM q JOIN countries c USING (country) GROUP BY 1) SELECT subregion, round(s, 6) AS med_share, round(d, 6) AS mean_deficit, n, CASE WHEN s > every + 0.05 THEN 'above' WHEN s < every - 0.05 THEN 'below' ELSE 'near' END AS flag FROM r CROSS JOIN a")
+_RHO = """rp AS (SELECT * FROM panel WHERE score IS NOT NULL AND share > 0), rr AS (SELECT country, rank() OVER (PARTITION BY country ORDER BY share) + (count(*) OVER (PARTITION BY country, share) - 1) / 2.0 AS x,
+  rank() OVER (PARTITION BY country ORDER BY score) + (count(*) OVER (PARTITION BY country, score) - 1) / 2.0 AS y FROM rp), rho AS (SELECT country, corr(x, y) AS rho, count(*) AS n FROM rr GROUP BY country HAVING count(*) >= 10)"""
+
+
+def correlations(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (country, rho, n) of the countries with at least ten pairs, which are the qualifying ones."""
+    return M.spearman(panel(spark, folder).where("share > 0"), ["country"], "share", "score").where("n >= 10")
+
+
+@query(f"WITH {_MED}, {_RHO}, r AS (SELECT c.subregion, rho FROM rho JOIN countries c USING (country)), a AS (SELECT median(rho) AS every FROM r), g AS (SELECT subregion, median(rho) AS m, avg(rho) AS v, count(*) AS n FROM r GROUP BY 1) SELECT subregion, round(m, 6) AS median_rho, round(v, 6) AS mean_rho, n, CASE WHEN m > every + 0.05 THEN 'more positive' WHEN m < every - 0.05 THEN 'more negative' ELSE '' END AS flag FROM g CROSS JOIN a")
 def subregion_medians(spark: SparkSession, folder: str) -> DataFrame:
-    """Median share of each subregion against that of all."""
+    """Median and mean correlation of each subregion's countries, and whether it's apart from that of all."""
+    r = correlations(spark, folder).join(F.broadcast(countries(spark).select("country", "subregion")), "country")
+    g = r.groupBy("subregion").agg(F.median("rho").alias("m"), F.avg("rho").alias("v"), F.count("*").alias("n")).crossJoin(F.broadcast(r.agg(F.median("rho").alias("every"))))
+    flag = F.when(F.col("m") > F.col("every") + 0.05, "more positive").when(F.col("m") < F.col("every") - 0.05, "more negative").otherwise("")
+    return g.select("subregion", F.round("m", 6).alias("median_rho"), F.round("v", 6).alias("mean_rho"), "n", flag.alias("flag"))
+
+
+@query(f"""WITH {_MED}, {_RHO}, {SQL_GOALS}, t AS (SELECT q.* FROM q JOIN rho USING (country)) SELECT goal, goal_name, count(*) FILTER (quadrant = 'LH') AS "LH", count(*) FILTER (quadrant = 'HH') AS "HH", count(*) FILTER (quadrant = 'HL') AS "HL", count(*) FILTER (quadrant = 'LL') AS "LL",
+  round(median(deficit), 6) AS med_deficit, round(median(share), 6) AS med_research FROM t JOIN goals USING (goal) GROUP BY goal, goal_name""")
+def goal_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Qualifying countries of each goal by quadrant, with the goal's median deficit and share among them."""
+    q = _median(spark, folder).join(correlations(spark, folder).select("country"), "country", "left_semi")
+    g = q.groupBy("goal").agg(*(F.count_if(F.col("quadrant") == n).alias(n) for n in ("LH", "HH", "HL", "LL")), F.round(F.median("deficit"), 6).alias("med_deficit"), F.round(F.median("share"), 6).alias("med_research"))
+    return g.join(F.broadcast(goals(spark)), "goal").select("goal", "goal_name", "LH", "HH", "HL", "LL", "med_deficit", "med_research")
+
+
+@query(f"""WITH {_MED}, l AS (SELECT goal, median(deficit) - 1000 * median(share) AS v, count(*) AS n FROM q WHERE quadrant = 'LH' GROUP BY goal), h AS (SELECT goal, count(*) AS n FROM q WHERE quadrant = 'HL' GROUP BY goal)
+  SELECT * FROM (SELECT 'most neglected' AS finding, goal, round(v, 4) AS value, n AS n_countries FROM l ORDER BY round(v, 4) DESC, goal LIMIT 1) UNION ALL SELECT * FROM (SELECT 'most over-researched', goal, n::DOUBLE, n FROM h ORDER BY n DESC, goal LIMIT 1)""")
+def extreme_goals(spark: SparkSession, folder: str) -> DataFrame:
+    """The goal that is most neglected where it's in deficit, and the one that most countries over-research; ties to the smaller goal."""
     q = _median(spark, folder)
-    r = q.join(F.broadcast(countries(spark).select("country", "subregion")), "country").groupBy("subregion").agg(F.median("share").alias("s"), F.avg("deficit").alias("d"), F.count("*").alias("n"))
-    r = r.crossJoin(F.broadcast(q.agg(F.median("share").alias("every"))))
-    flag = F.when(F.col("s") > F.col("every") + 0.05, "above").when(F.col("s") < F.col("every") - 0.05, "below").otherwise("near")
-    return r.select("subregion", F.round("s", 6).alias("med_share"), F.round("d", 6).alias("mean_deficit"), "n", flag.alias("flag"))
+    low = q.where("quadrant = 'LH'").groupBy("goal").agg(F.round(F.median("deficit") - 1000 * F.median("share"), 4).alias("value"), F.count("*").alias("n_countries"))
+    low = low.orderBy(F.desc("value"), "goal").limit(1).select(F.lit("most neglected").alias("finding"), "goal", "value", "n_countries")
+    high = q.where("quadrant = 'HL'").groupBy("goal").agg(F.count("*").alias("n_countries")).orderBy(F.desc("n_countries"), "goal").limit(1)
+    return low.union(high.select(F.lit("most over-researched"), "goal", F.col("n_countries").cast("double"), "n_countries"))
+
+
+@query()
+def publication_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of countries for print: subregion by name or official name, correlation and interval to three digits, whether it excludes zero, leading quadrant."""
+    b = bootstrap_intervals(spark, folder)
+    c = countries(spark)
+    b = b.join(F.broadcast(c.select("country", F.col("subregion").alias("x"))), "country", "left").join(F.broadcast(c.select(F.col("official").alias("country"), F.col("subregion").alias("y")).dropDuplicates(["country"])), "country", "left")
+    b = b.join(quadrant_pivot(spark, folder).select("country", "dominant"), "country", "left")
+    apart = F.when((F.col("ci_lower") > 0) | (F.col("ci_upper") < 0), "yes").otherwise("no")
+    return b.select("country", F.coalesce("x", "y").alias("subregion"), *(F.round(n, 3).alias(n) for n in ("rho", "ci_lower", "ci_upper")), apart.alias("ci_excludes_zero"), F.col("dominant").alias("dominant_quadrant")).orderBy(F.desc("rho"), "country")

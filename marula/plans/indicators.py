@@ -183,14 +183,25 @@ def bibliographic_export(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "raw_publications").select(*(F.col(v).alias(k) for k, v in _EXPORT.items()), F.lit("SCOPUS").alias("DB"))
 
 
-@query()
+@query("SELECT document_type, row_id FROM (SELECT document_type, row_id, row_number() OVER (PARTITION BY document_type ORDER BY md5('42:' || row_id::VARCHAR), row_id) AS k FROM raw_publications) WHERE k <= 5")
 def sampled_records(spark: SparkSession, folder: str) -> DataFrame:
     """Five records of each document type in a seeded random order; the sampling operator."""
-    p = table(spark, folder, "raw_publications").select("document_type", "row_id", F.xxhash64(F.lit(42), "row_id").alias("h"))
+    p = table(spark, folder, "raw_publications").select("document_type", "row_id", F.md5(F.concat(F.lit("42:"), F.col("row_id").cast("string"))).alias("h"))
     k = F.row_number().over(Window.partitionBy("document_type").orderBy("h", "row_id"))
     return p.withColumn("k", k).where("k <= 5").select("document_type", "row_id")
 
 
+@query(f"""WITH {BY_COUNTRY}, {SQL_GOALS}, t AS (SELECT country FROM bc GROUP BY 1 ORDER BY count(*) DESC, country LIMIT 30), n AS (SELECT country, try_cast(g AS INT) AS goal, count(*) AS n FROM bc, unnest(string_split(sdg_number, ',')) AS u(g) GROUP BY ALL)
+  SELECT t.country, g.goal::INT AS goal, coalesce(n, 0) AS n, round(log10(coalesce(n, 0) + 1), 6) AS log_n FROM t CROSS JOIN goals g LEFT JOIN n ON n.country = t.country AND n.goal = g.goal""")
+def goal_country_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Figure data: the thirty leading countries by all goals, with counts and their logarithm, none as 0."""
+    c = by_country(spark, folder)
+    top = c.groupBy("country").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "country").limit(30).select("country")
+    n = c.select("country", F.explode(F.split("sdg_number", ",")).alias("g")).groupBy("country", F.col("g").try_cast("int").alias("goal")).agg(F.count("*").alias("n"))
+    frame = top.crossJoin(F.broadcast(goals(spark).select("goal"))).join(n, ["country", "goal"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return frame.select("country", "goal", "n", F.round(F.log10(F.col("n") + 1), 6).alias("log_n"))
+
+
 @query(f"""WITH {PUBS}, o AS (SELECT count(*) AS n, sum(cites)::BIGINT AS c, count(DISTINCT source_title) AS s, round(100.0 * count(doi_clean) / count(*), 1) AS d FROM pubs)
   SELECT 'records' AS metric, format('{{:,}}', n) AS value FROM o UNION ALL SELECT 'citations', format('{{:,}}', c) FROM o UNION ALL SELECT 'sources', format('{{:,}}', s) FROM o UNION ALL SELECT 'with DOI', format('{{:.1f}} %', d) FROM o""")
 def formatted_overview(spark: SparkSession, folder: str) -> DataFrame:
