@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marula.functions import text as T
 from marula.operators import keywords as K
 from marula.plans.dims import ACRONYMS, AMERICAN, SYNONYMS
+from marula.plans.querytext import _TERMS, vocabulary_terms
 from marula.plans.registry import query
 from marula.session import table
 
@@ -35,12 +36,11 @@ def keyword_top500(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    """Terms of the index keywords and the most frequent author keywords, each once."""
-    index = table(spark, folder, "raw_publications").select(F.explode(T.split_values(F.lower("index_keywords"), ";")).alias("term"))
-    return top_keywords(spark, folder).select(F.col("keyword").alias("term")).union(index).distinct()
+    """Terms of the query lines and the most frequent author keywords, each once."""
+    return top_keywords(spark, folder).select(F.col("keyword").alias("term")).union(vocabulary_terms(spark, folder)).distinct()
 
 
-_VOCABULARY = rf"""{KEYWORDS}, {_TOP}, vocab AS (SELECT keyword AS term FROM top UNION SELECT regexp_replace(x, '{_STRIP}', '', 'g') AS term FROM raw_publications, unnest(string_split(lower(index_keywords), ';')) AS u(x) WHERE regexp_replace(x, '{_STRIP}', '', 'g') <> '')"""
+_VOCABULARY = rf"""{KEYWORDS}, {_TOP}, {_TERMS}, vocab AS (SELECT keyword AS term FROM top UNION SELECT term FROM query_terms)"""
 _PAIRS = lambda d: ", ".join("('" + a.replace("'", "''") + "', '" + b.replace("'", "''") + "')" for a, b in d.items())
 _RULES = rf"""{_VOCABULARY}, am(term, p) AS (VALUES {_PAIRS(AMERICAN)}), ac(term, p) AS (VALUES {_PAIRS(ACRONYMS)}), sy(term, p) AS (VALUES {_PAIRS(SYNONYMS)}),
   f AS (SELECT term, CASE WHEN term LIKE '%ies' THEN regexp_replace(term, 'ies$', 'y') WHEN term LIKE '%s' AND length(term) > 5 THEN regexp_replace(term, 's$', '') END AS sg, CASE WHEN contains(term, '-') THEN replace(term, '-', '') END AS so FROM vocab),

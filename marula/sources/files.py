@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import codecs
+import csv
+import hashlib
+import io
+from collections.abc import Callable, Iterator, Sequence
+from typing import BinaryIO
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,42 +24,88 @@ def resolve_column(columns: Sequence[str], *candidates: str) -> str | None:
     return next((plain[c.lower()] for c in candidates if c.lower() in plain), None)
 
 
-def _readable(spark: SparkSession, path: str, pattern: str) -> dict[str, list[str]]:
-    """Files by the first encoding that reads them whole; their bytes are checked where they lie."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    rows = files.select("path", F.expr("is_valid_utf8(cast(content AS STRING))").alias("ok")).collect()
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(ENCODINGS[0] if r.ok else ENCODINGS[1], []).append(r.path)
-    return out
+#: Bytes of one read, and of a file's beginning that holds its header.
+CHUNK = 1 << 20
+
+
+def each_file(spark: SparkSession, path: str, pattern: str, look: Callable[[BinaryIO], object], kind: str) -> DataFrame:
+    """Rows (path, n_bytes, found): what a function finds in each file, read as a stream in a task where the file lies; files may be of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
+        for b in batches:
+            found = []
+            for p in b.column("path").to_pylist():
+                own = p.startswith("file:")
+                system, place = (fs.LocalFileSystem(), "/" + p.removeprefix("file:").lstrip("/")) if own else fs.FileSystem.from_uri(p)
+                with system.open_input_stream(place) as f:
+                    found.append(look(f))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], ["path", "n_bytes", "found"])
 
-def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", schema: T.StructType | None = None, delimiter: str = ",") -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", F.col("length").alias("n_bytes"))
+    return files.mapInArrow(run, f"path string, n_bytes bigint, found {kind}")
+
+
+def _beginning(f: BinaryIO) -> list[str]:
+    """The encoding of a CSV file, which needs all of it, and then its beginning."""
+    decode, good, head = codecs.getincrementaldecoder("utf-8")(), True, b""
+    while chunk := f.read(CHUNK):
+        head = head or chunk
+        try:
+            decode.decode(chunk)
+        except UnicodeDecodeError:
+            good = False
+            break
+    try:
+        decode.decode(b"", True)
+    except UnicodeDecodeError:
+        good = False
+    name = ENCODINGS[0] if good else ENCODINGS[1]
+    return [name, head.decode(name, "ignore").removeprefix("\ufeff")]
+
+
+def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", schema: T.StructType | None = None, delimiter: str = ",", name_like: str | None = None, missing: Sequence[str] = ()) -> DataFrame:
     """All CSV files of a folder, every column a string, with source_file; values may hold quotes and line breaks.
 
     Files that aren't UTF-8 are read as Latin-1. Columns that a file lacks are null in
-    its rows. An empty value is null; "NA" stays text.
+    its rows. An empty value is null, and so are the listed marks of a missing one; "NA"
+    is text unless listed. name_like: a pattern that the whole file name must match.
     """
+    files = each_file(spark, path, pattern, _beginning, "array<string>")
+    if name_like is not None:
+        files = files.where(F.element_at(F.split("path", "/"), -1).rlike(f"^(?:{name_like})$"))
+    # headers differ from file to file, so each set of equal headers is read at once
+    same: dict[tuple[str, ...], list[str]] = {}
+    for r in files.collect():
+        header = next(csv.reader(io.StringIO(r.found[1], newline=""), delimiter=delimiter), [])
+        same.setdefault((r.found[0], *([] if schema is not None else header)), []).append(r.path)
     out = None
-    for encoding, files in sorted(_readable(spark, path, pattern).items()):
+    for (encoding, *_), paths in sorted(same.items()):
         reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", delimiter).option("encoding", encoding)
         if schema is not None:
             reader = reader.schema(schema).option("enforceSchema", False)
-            part = reader.csv(files).withColumn("source_file", F.col("_metadata.file_name"))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-            continue
-        # headers differ from file to file, so each set of equal headers is read at once
-        headers: dict[tuple[str, ...], list[str]] = {}
-        for f in files:
-            headers.setdefault(tuple(reader.csv(f).columns), []).append(f)
-        for same in headers.values():
-            part = reader.csv(same).withColumn("source_file", F.col("_metadata.file_name"))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        part = reader.csv(paths).withColumn("source_file", F.col("_metadata.file_name"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame([], schema or "source_file string")
+    for mark in missing:
+        out = out.select(*(F.nullif(F.col(f"`{c}`"), F.lit(mark)).alias(c) if t == "string" and c != "source_file" else F.col(f"`{c}`") for c, t in out.dtypes))
     return out
 
 
+def read_typed(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = "\t", header: bool = False) -> DataFrame:
+    """Delimited files of known columns and types, without a header unless asked for; a value of another type stops the job."""
+    return spark.read.schema(schema).option("sep", delimiter).option("header", header).option("mode", "FAILFAST").csv(path)
+
+
+def read_register(spark: SparkSession, path: str) -> DataFrame:
+    """Organisations of a nested JSON array as they stand: ord (in order), id, names (value, types), countries (distinct codes)."""
+    raw = spark.read.option("multiLine", True).json(path)
+    codes = F.array_distinct(F.filter(F.transform("locations", lambda x: x["geonames_details"]["country_code"]), lambda c: c.isNotNull()))
+    return raw.select(F.monotonically_increasing_id().alias("ord"), "id", "names", F.coalesce(codes, F.array().cast("array<string>")).alias("countries"))
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Institutions of a nested JSON array: one row (id, display, country_code, names) for each institution and country."""
     raw = spark.read.option("multiLine", True).json(path)
@@ -85,14 +137,31 @@ def read_pairs(spark: SparkSession, path: str, mark: str = ":") -> DataFrame:
     return t.select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
 
 
+def _digest(f: BinaryIO) -> str:
+    h = hashlib.sha256()
+    while chunk := f.read(CHUNK):
+        h.update(chunk)
+    return h.hexdigest()
+
+
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Rows (source_file, n_bytes, digest): SHA-256 of each file."""
-    b = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return b.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+    """Rows (source_file, n_bytes, digest): SHA-256 of each file, of whatever size."""
+    return each_file(spark, path, pattern, _digest, "string").select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "n_bytes", F.col("found").alias("digest"))
+
+
+def checksum_list(digests: DataFrame) -> str:
+    """Lines "digest  name" of file_digests, by name; the same files give the same text."""
+    rows = digests.select("source_file", "digest").orderBy("source_file").collect()
+    return "".join(f"{r.digest}  {r.source_file}\n" for r in rows)
 
 
-def write_table(df: DataFrame, path: str, kind: str = "csv", one_file: bool = False) -> None:
-    """Write CSV (with header and doubled quotes), TSV, JSON or Parquet, replacing what was there, so a repeated run leaves one copy."""
+def write_table(df: DataFrame, path: str, kind: str = "csv", one_file: bool = False, bom: bool = False) -> None:
+    """Write CSV (with header and doubled quotes), TSV, JSON or Parquet, replacing what was there, so a repeated run leaves one copy.
+
+    bom: begin each CSV file with the mark by which some spreadsheets know UTF-8.
+    """
+    if bom and kind in ("csv", "tsv"):
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     out = (df.coalesce(1) if one_file else df).write.mode("overwrite")
     if kind in ("csv", "tsv"):
         out.option("header", True).option("escape", '"').option("sep", "\t" if kind == "tsv" else ",").csv(path)
