@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marula.session import written
+
 #: Marks that part words like a blank: dashes and apostrophes in their written forms. Fixed values.
 PARTING = r"[\p{Pd}−'‘’ʼʹ＇`´]"
 
@@ -90,7 +92,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def collapse_copies(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
     """One row (first_row_id, n_copies) for each set of two or more records with the same words."""
-    rows = canonical(df, id_col, columns).repartitionByRange("_key", "_id").sortWithinPartitions("_key", "_id")
+    # written once, as the partitioner reads its input twice: for the bounds and for the shuffle
+    rows = written(canonical(df, id_col, columns)).repartitionByRange("_key", "_id").sortWithinPartitions("_key", "_id")
     runs = rows.mapInArrow(_runs, "_key string, first_row_id bigint, n_copies bigint")
     whole = runs.groupBy("_key").agg(F.min("first_row_id").alias("first_row_id"), F.sum("n_copies").alias("n_copies"))
     return whole.where(F.col("n_copies") >= 2).select("first_row_id", "n_copies")
