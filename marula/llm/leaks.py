@@ -54,6 +54,9 @@ class SuffixAutomaton:
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
             up = self.link[s]
             self.top[s] = self.top[up] if self.length[up] >= min_words else s
+        #: pieces of half the least match that stand anywhere in the passages
+        self.half = max(1, min_words // 2)
+        self.pieces = {tuple(text[k : k + self.half]) for _, text in texts for k in range(len(text) - self.half + 1)}
         self.items: dict[int, set[int]] = {}
         for i, text in texts:
             s = 0
@@ -95,8 +98,15 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
+    def may_match(self, numbers: list[int]) -> bool:
+        """Whether any match is possible: one of min_words holds a whole piece that begins at a multiple of its length."""
+        h = self.half
+        return not self.pieces.isdisjoint(zip(*(numbers[k::h] for k in range(h))))
+
     def matches(self, numbers: list[int]) -> list[tuple[int, int, int]]:
         """(position, matching length, state) of every word that ends a match of at least min_words."""
+        if not self.may_match(numbers):
+            return []
         nxt, link, length, least = self.next, self.link, self.length, self.min_words
         out, s, n = [], 0, 0
         for at, c in enumerate(numbers):
