@@ -79,6 +79,9 @@ SUSPICIOUS = (
     r"|[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}\p{IsCoptic}\p{IsLisu}]" + f"|[{ranges((*STYLED, *PHONETIC))}]"
 )
 
+#: One class of all characters but Latin letters up to U+024F and the signs among them; whatever is suspicious is in it.
+UNUSUAL = r"[^\x00-\x9F\xA1-\xAC\xAE-\x{131}\x{134}-\x{1C3}\x{1CD}-\x{1F0}\x{1F4}-\x{24F}]"
+
 _wide, _joined, _marks = re.compile(f"[{WIDE}]"), re.compile(f"[{JOINED}]"), re.compile(f"[{BLANK_MARKS}]")
 _words = re.compile(r"[^\W\d_]+")
 #: What is found in a value; the last two are other uses of letters than the ones that stand for Latin letters.
@@ -190,6 +193,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def disguised_values(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
     """Rows (id_col, field_name, value, consistent_value, kinds) of all values that hold a disguise."""
     cells = field_cells(df.select(F.col(id_col).alias("_id"), *fields), "_id", fields)
-    cells = cells.where(F.col("cell").rlike(SUSPICIOUS))
+    # the second pattern is costly, and most values don't pass the first
+    cells = cells.where(F.col("cell").rlike(UNUSUAL) & F.col("cell").rlike(SUSPICIOUS))
     out = cells.mapInArrow(_check, f"_id {dict(df.dtypes)[id_col]}, field_name string, value string, consistent_value string, kinds array<string>")
     return out.withColumnRenamed("_id", id_col)

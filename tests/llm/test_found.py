@@ -240,6 +240,14 @@ def test_consistent(text, plain, kinds):
     assert lookalikes.consistent(text) == (text if plain is None else plain, kinds)
 
 
+def test_whatever_is_suspicious_is_unusual():
+    regex = pytest.importorskip("regex")
+    unusual = regex.compile(regex.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), lookalikes.UNUSUAL))
+    for c in map(chr, range(0x110000)):
+        if not 0xD800 <= ord(c) < 0xE000 and lookalikes.consistent("a" + c + "a")[1]:
+            assert unusual.match(c), hex(ord(c))
+
+
 def test_disguised_values(spark):
     rows = [(1, "bоre", None), (2, None, "plain"), (3, "ok", "a​" * 50_000), (4, "", ""), (1, "bоre", None), (None, "bоre", None)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "row_id bigint, title string, affiliations string, cell string").withColumnRenamed("cell", "_id")
@@ -512,3 +520,21 @@ def test_query_runs(spark, data, name):
     df = queries.QUERIES[name](spark, data)
     n = df.count()
     assert n == df.distinct().count() and (n > 0 or name in ("p4_found", "p4_pairs"))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_matches_sql(spark, data, name):
+    duckdb = pytest.importorskip("duckdb")
+    import glob
+    import os
+
+    db = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        db.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    df = queries.QUERIES[name](spark, data)
+    found = db.sql(queries.SQL[name])
+    names = list(found.columns)
+    columns = sorted(df.columns)
+    assert sorted(names) == columns
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    assert sorted(str([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(str([plain(r[names.index(c)]) for c in columns]) for r in found.fetchall())
