@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marula.functions import text as T
-from marula.operators.records import best_partial
+from marula.operators.partial import nearest
 from marula.plans.dims import INSTITUTION_WORDS, LABEL_ENDS, OTHER_NAMES, ROLES, SHORT_NAMES, SQL_COUNTRIES, UNIT_PREFIXES, countries, country_rows
 from marula.plans.records import PUBS, publications
 from marula.plans.registry import query
@@ -223,19 +223,20 @@ def stub_classes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "manual_overrides").select("override_id", stub.alias("stub"))
 
 
-#: Texts and names of one block, which are scored all with all.
-BLOCK = 500
+#: Texts, and names, of one block; the texts' likeliest names are sought among all of the block.
+BLOCK, NAMES = 4000, 20_000
 
 
-def _best(k: int):
-    """For each two blocks the k best names of each text, and those level with the last."""
+def _best(k: int, **limits: float):
+    """For each two blocks the k best names of each text, of equals those listed first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("x", pa.string()), ("place", pa.string()), ("override_id", pa.int64()), ("score", pa.float64())])
         for b in batches:
             for row in b.to_pylist():
                 texts, names = row["texts"], row["names"]
-                found = [(x, row["place"], names[j]["override_id"], v) for x, best in zip(texts, best_partial(texts, [n["y"] for n in names], k)) for v, j in best]
+                ranked = (sorted((-v, names[j]["override_id"]) for v, j in best)[:k] for best in nearest(texts, [n["y"] for n in names], k, **limits))
+                found = [(x, row["place"], o, -v) for x, best in zip(texts, ranked) for v, o in best]
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t.type) for c, t in enumerate(schema)], schema=schema)
 
     return run
@@ -289,25 +290,28 @@ def short_labels(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("segment", F.coalesce(short, capital).alias("t")).select("segment", T.cut_words(F.col("t"), 30).alias("label"))
 
 
-def _scored(spark: SparkSession, folder: str, open_: DataFrame, k: int) -> DataFrame:
+def _scored(spark: SparkSession, folder: str, open_: DataFrame, k: int, **limits: float) -> DataFrame:
     """Rows (segment, override_id, freq, score): affiliations with at least the k most similar of all known names of the countries they hint at.
 
     Distinct spellings meet a country's distinct names block by block; names are left
-    out only where an upper bound of their ratio is below the k-th best. An affiliation
-    without a hint, or without any name, has one row without override_id and score.
+    out only where an upper bound of their ratio is below the k-th best, or what limits
+    ask for. An affiliation without a hint, or without any name, has one row without
+    override_id and score.
     """
     names = institutions(spark, folder).select(T.normal_name(F.col("name")).alias("y"), "iso2", "override_id").where("iso2 is not null and length(y) > 10")
     names = names.groupBy("iso2", "y").agg(F.min("override_id").alias("override_id"))
     open_ = open_.withColumn("h", hints(F.col("segment")))
     texts = open_.select(F.explode("h").alias("iso2"), "x").distinct()
-
-    def blocks(df: DataFrame, item, name: str) -> DataFrame:
-        n = df.groupBy("iso2").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-        return df.join(n, "iso2").groupBy("iso2", F.pmod(F.xxhash64(*df.columns), F.col("n")).alias(f"{name}_block")).agg(F.collect_list(item).alias(name))
-
-    pairs = blocks(texts, F.col("x"), "texts").join(blocks(names, F.struct("y", "override_id"), "names"), "iso2")
-    pairs = pairs.repartition(partitions(spark), "iso2", "texts_block", "names_block").select(F.col("iso2").alias("place"), "texts", "names")
-    best = pairs.mapInArrow(_best(k), "x string, place string, override_id bigint, score double")
+    # texts with the same last words share most of their work; of too many of them each has a block by chance
+    words = F.substring_index(F.trim(F.regexp_replace("x", "[0-9 ]+", " ")), " ", -3)
+    n = texts.groupBy("iso2").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    texts = texts.join(n, "iso2").select("iso2", "x", F.pmod(F.xxhash64(words), F.col("n")).alias("part"))
+    n = texts.groupBy("iso2", "part").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("n"))
+    texts = texts.join(n, ["iso2", "part"]).groupBy("iso2", "part", F.pmod(F.xxhash64("x"), F.col("n")).alias("texts_block")).agg(F.collect_list("x").alias("texts"))
+    n = names.groupBy("iso2").agg(F.ceil(F.count("*") / NAMES).alias("n"))
+    names = names.join(n, "iso2").groupBy("iso2", F.pmod(F.xxhash64("y"), F.col("n")).alias("names_block")).agg(F.collect_list(F.struct("y", "override_id")).alias("names"))
+    pairs = texts.join(names, "iso2").repartition(4 * partitions(spark), "iso2", "part", "texts_block", "names_block").select(F.col("iso2").alias("place"), "texts", "names")
+    best = pairs.mapInArrow(_best(k, **limits), "x string, place string, override_id bigint, score double")
     each = open_.select("segment", "freq", "x", F.explode_outer("h").alias("place"))
     out = each.join(best, ["x", "place"], "left").select("segment", "override_id", "freq", "score")
     # where one of several countries has no name the others' rows are enough
@@ -315,14 +319,18 @@ def _scored(spark: SparkSession, folder: str, open_: DataFrame, k: int) -> DataF
     return out.withColumn("some", some).where("override_id is not null or not some").drop("some").distinct()
 
 
-def _judged(spark: SparkSession, folder: str, open_: DataFrame) -> DataFrame:
+#: A best score of that much is accepted if it leads the next by the gap.
+ACCEPT, GAP = 92.0, 5.0
+
+
+def _judged(spark: SparkSession, folder: str, open_: DataFrame, **limits: float) -> DataFrame:
     """Rows (segment, freq, best, next, method, first_id) of scored affiliations."""
     order = Window.partitionBy("segment").orderBy(F.desc("score"), "override_id")
-    top = _scored(spark, folder, open_, 2).withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("segment", "freq").agg(
+    top = _scored(spark, folder, open_, 2, **limits).withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("segment", "freq").agg(
         F.max(F.when(F.col("r") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("next"), F.max(F.when(F.col("r") == 1, F.col("override_id"))).alias("first_id")
     )
     gap = F.col("best") - F.coalesce("next", F.lit(0.0))
-    method = F.when((F.col("best") >= 92) & (gap >= 5), "fuzzy").when((F.col("best") == 100) & (F.col("next") == 100), "fuzzy_tiebreak_first").when(F.col("best") == 100, "fuzzy_tiebreak").otherwise("unresolved")
+    method = F.when((F.col("best") >= ACCEPT) & (gap >= GAP), "fuzzy").when((F.col("best") == 100) & (F.col("next") == 100), "fuzzy_tiebreak_first").when(F.col("best") == 100, "fuzzy_tiebreak").otherwise("unresolved")
     return top.withColumn("method", method)
 
 
@@ -339,11 +347,15 @@ def fuzzy_match_top2(spark: SparkSession, folder: str) -> DataFrame:
     return top.select("segment", "freq", F.round("best", 6).alias("best"), F.round("next", 6).alias("next"), "method", F.when(F.col("method") != "unresolved", F.col("first_id")).alias("override_id"))
 
 
-def resolved(spark: SparkSession, folder: str) -> DataFrame:
-    """All steps of the cascade, the scored ones last: segment, n, method, override_id, score."""
+def resolved(spark: SparkSession, folder: str, floor: float = 0.0) -> DataFrame:
+    """All steps of the cascade, the scored ones last: segment, n, method, override_id, score.
+
+    The next best name is sought only where it can decide. Scores below floor may be
+    missing; up to ACCEPT - GAP it changes nothing else.
+    """
     done = checkpoint(cascade(spark, folder))
     open_ = done.where("method = 'unresolved'").select("segment", F.col("n").alias("freq"), T.normal_name(F.col("segment")).alias("x"))
-    top = _judged(spark, folder, open_)
+    top = _judged(spark, folder, open_, gap=GAP, accept=ACCEPT, floor=floor)
     found = top.select("segment", F.col("freq").alias("n"), "method", F.when(F.col("method") != "unresolved", F.col("first_id")).alias("override_id"), F.coalesce("best", F.lit(0.0)).alias("score"))
     return done.where("method <> 'unresolved'").unionByName(found)
 

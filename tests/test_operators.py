@@ -127,6 +127,39 @@ def test_best_partial_finds_the_best():
             assert sorted(got) == sorted((v, j) for j, v in enumerate(own) if v >= least)
 
 
+def test_nearest_names_are_found_without_scoring_all(monkeypatch):
+    from marula.operators import partial
+
+    scored = []
+    real = partial._Scorer.scores
+    monkeypatch.setattr(partial._Scorer, "scores", lambda self, i, *rest: scored.append(len(i)) or real(self, i, *rest))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abdeiklmnorstué", k=rng.randint(4, 12)))
+    noise = lambda low, high: "".join(rng.choices("abcde é12", k=rng.randint(low, high)))
+    known = sorted({f"{word()} {rng.choice(['institute of', 'university of', 'hospital', 'po box 12'])} {word()}" for _ in range(60)})
+    cases = [
+        (known, [f"department of law {y[:-2]}s po box {rng.randint(10, 999)} nairobi kenya" for y in known[:30]] + [y[:12] for y in known[:5]] + [f"{y[6:]} kenya" for y in known[5:15]] + known[15:18]),
+        ([noise(1, 90) for _ in range(30)] + ["x" * 130], [noise(0, 30) + noise(0, 60) + noise(0, 30) for _ in range(30)] + ["", "a", "x" * 140]),
+    ]
+    for names, texts in cases:
+        every = [[records.partial_ratio(x, y) for y in names] for x in texts]
+        for k in (2, 3, 99):
+            for own, got in zip(every, partial.nearest(texts, names, k)):
+                least = sorted(own)[-min(k, len(names))]
+                assert sorted(f for f in got if f[0] >= least) == sorted((v, j) for j, v in enumerate(own) if v >= least)
+        for own, got in zip(every, partial.nearest(texts, names, 2, gap=5.0, accept=92.0)):
+            best = max(own)
+            assert sorted(f for f in got if f[0] == best) == sorted((v, j) for j, v in enumerate(own) if v == best)
+            second = lambda x: sorted(x)[-2] if len(x) > 1 else 0.0
+            assert best < 92 or second(own) <= best - 5 or second(own) == second([v for v, _ in got])
+        for own, got in zip(every, partial.nearest(texts, names, 2, gap=5.0, accept=92.0, floor=87.0)):
+            assert max(own) < 87 or max(v for v, _ in got) == max(own)
+    names, texts = cases[0]
+    scored.clear()
+    partial.nearest(texts, names, 2, gap=5.0, accept=92.0)
+    assert sum(scored) < 0.4 * len(texts) * len(names)
+
+
 def test_affiliations_meet_all_names_of_their_country(spark, tmp_path, monkeypatch):
     from marula.plans import affiliations
 
