@@ -369,7 +369,7 @@ def affiliation_cascade(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def standardised_records(spark: SparkSession, folder: str) -> DataFrame:
     """The roll-up of each record by all steps."""
-    found = segments(spark, folder).join(resolved(spark, folder).select("segment", "method", "override_id"), "segment")
+    found = segments(spark, folder).join(resolved(spark, folder, ACCEPT - GAP).select("segment", "method", "override_id"), "segment")
     return roll_up(found, institutions(spark, folder).select("override_id", "iso2"))
 
 
