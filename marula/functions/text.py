@@ -40,15 +40,25 @@ def normal_name(c: Column) -> Column:
 
 #: Articles that don't count in exact look-ups, taken out in this order. Fixed values.
 ARTICLES = (" of the ", " of a ", " de la ", " de las ", " du ", " des ", " der ", " van de ", " van den ")
+_MARK = "\x01"
 
 
 def exact_name(c: Column) -> Column:
     """A name for exact look-ups: normal_name without articles, hyphens inside words as blanks."""
-    v = F.concat(F.lit(" "), normal_name(c), F.lit(" "))
+    return exact_of(marked_name(c))
+
+
+def marked_name(c: Column) -> Column:
+    """normal_name with a mark, which no such name holds, in place of each hyphen inside a word."""
+    return F.regexp_replace(normal_name(c), r"(?<=[\p{L}\p{N}_])-(?=[\p{L}\p{N}_])", _MARK)
+
+
+def exact_of(marked: Column) -> Column:
+    """The form for exact look-ups of what marked_name gave, or of several such names with a blank between any two."""
+    v = F.concat(F.lit(" "), marked, F.lit(" "))
     for article in ARTICLES:
         v = F.replace(v, F.lit(article), F.lit(" "))
-    v = F.regexp_replace(v, r"(?<=[\p{L}\p{N}_])-(?=[\p{L}\p{N}_])", " ")
-    return F.trim(F.regexp_replace(v, r"\s+", " "))
+    return F.trim(F.replace(v, F.lit(_MARK), F.lit(" ")))
 
 
 def title_case(c: Column) -> Column:

@@ -15,8 +15,14 @@ SPARE = (6, 14)
 NEAR = 87.0
 #: Names are at most that long, for the bounds at a text's ends. Fixed values.
 SIZES = (24, 40, 64)
-#: Cells of a table of words and places, and of one step of scoring.
-CELLS, STEP = 24_000_000, 120_000
+#: Cells of a table of words and places, of one step of scoring, and of texts and names of one turn.
+CELLS, STEP, TURN = 24_000_000, 120_000, 4_000_000
+#: So few names are scored without bounds, beside that many times more texts.
+FEW, MANY = 200, 20
+#: How many names are scored in each turn.
+WIDTHS = (12, 48, 192, None)
+#: Windows that are looked at as one first.
+STRIDE = 8
 
 
 def _common(words: Sequence[str], runs: Sequence[tuple[str, str]], spare: int):
@@ -34,10 +40,8 @@ def _common(words: Sequence[str], runs: Sequence[tuple[str, str]], spare: int):
     sized: dict[int, list[int]] = {}
     for j, w in enumerate(words):
         sized.setdefault(len(w), []).append(j)
-    text = np.zeros((len(runs), max(len(runs[i][0]) for i in order) + longest), np.int32)
-    for i, (head, tail) in enumerate(runs):
-        t = (head + tail)[: text.shape[1]]
-        text[i, : len(t)] = [codes.get(c, 0) for c in t]
+    width = max(len(runs[i][0]) for i in order) + longest
+    text = _rows([(head + tail)[:width] for head, tail in runs], codes, width)
     heads = np.array([len(runs[i][0]) for i in order])
     order = np.array(order)
     for n, js in sized.items():
@@ -68,6 +72,22 @@ def _common(words: Sequence[str], runs: Sequence[tuple[str, str]], spare: int):
     return out
 
 
+def _rows(texts: Sequence[str], codes: dict[str, int], width: int):
+    """The texts' characters by their codes, 0 for others, a row each; codes count the sorted characters from 1."""
+    import numpy as np
+
+    out = np.zeros((len(texts), width), np.int32)
+    sizes = np.array([len(x) for x in texts])
+    known = np.frombuffer("".join(codes).encode("utf-32-le", "surrogatepass"), np.uint32)
+    every = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
+    own = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if len(known):
+        out[own, place] = np.where(known[at] == every, at + 1, 0)
+    return out
+
+
 class _Bounds:
     """Upper bounds of how many characters of each name stand in order in a window of each text; names are sorted by length.
 
@@ -137,6 +157,13 @@ class _Bounds:
             some = slice(None) if n > SIZES[-1] else sizes <= n
             self.ends[:, i:j, some] = self.whole[:, i:j, some]
 
+    def part(self, some) -> _Bounds:
+        """The bounds of some of the texts."""
+        out = object.__new__(_Bounds)
+        out.spares, out.kind, out.groups, out.sizes = self.spares, self.kind, self.groups, self.sizes[some]
+        out.whole, out.ends = self.whole[:, :, some], self.ends[:, :, some]
+        return out
+
     def open(self, least):
         """Whether a name's score may be at least that of each text in a whole window, and in one that's clipped."""
         import numpy as np
@@ -177,11 +204,9 @@ class _Scorer:
         self.both = texts, names
         codes = {c: i for i, c in enumerate(sorted(set("".join(names))), 1)}
         self.sizes = tuple(np.array([len(x) for x in side]) for side in self.both)
-        self.coded, self.tables, self.more, self.turned = [], [], [], {}
+        self.coded, self.tables, self.more, self.turned, self.halves = [], [], [], {}, {}
         for side in self.both:
-            coded = np.zeros((len(side), max(map(len, side))), np.int32)
-            for i, x in enumerate(side):
-                coded[i, : len(x)] = [codes.get(c, 0) for c in x]
+            coded = _rows(side, codes, max(map(len, side)))
             self.coded.append(coded)
             # no character of a name has the code 0
             for first, tables in ((0, self.tables), (64, self.more)):
@@ -207,18 +232,66 @@ class _Scorer:
             places = places[np.lexsort((sizes[places], lengths[places]))]
             for same in np.split(places, np.flatnonzero(np.diff(lengths[places])) + 1):
                 if len(same):
-                    step = max(1, STEP // 4 // int(sizes[same[-1]] + lengths[same[0]])) if all_ else STEP // 12
+                    span = int(sizes[same[-1]] + lengths[same[0]])
+                    score = self._clipped if not all_ else self._near if lengths[same[0]] <= 64 else self._windows
+                    step = max(1, STEP // 4 // (span if score == self._windows else 1 + span // STRIDE)) if all_ else STEP // 12
                     for at in range(0, len(same), step):
                         part = same[at : at + step]
-                        score = self._windows if all_ else self._clipped
-                        out[part] = score(short, long, own[part], other[part], float(least[part].min()) / 100)
+                        out[part] = score(short, long, own[part], other[part], least[part] / 100)
         return out
 
-    def _windows(self, short: int, long: int, own, other, least: float):
+    def _near(self, short: int, long: int, own, other, least):
+        """The same as _windows, for up to 64 characters: single windows only where what STRIDE of them cover together is enough."""
         import numpy as np
 
         n, size = int(self.sizes[short][own[0]]), self.sizes[long][other]
-        low = _shortest(n, least)
+        low = _shortest(n, float(least.min()))
+        top, before = int(size.max()), n - low
+        groups = -(-(top + before - low + 1) // STRIDE)
+        kind = np.uint32 if n <= 32 else np.uint64
+        full = kind((1 << n) - 1)
+        masks = np.zeros((max(before + top, groups * STRIDE + n), len(own)), kind)
+        masks[before : before + top] = self._table(short, n)[own[None, :], self.coded[long][other, :top].T]
+        row = np.full((groups, len(own)), full)
+        hit, less = np.empty_like(row), np.empty_like(row)
+        for t in range(n + STRIDE - 1):
+            np.bitwise_and(row, masks[t : t + (groups - 1) * STRIDE + 1 : STRIDE], hit)
+            np.subtract(row, hit, less)
+            row += hit
+            row |= less
+        row &= full
+        first = np.arange(0, groups * STRIDE, STRIDE)[:, None] - before
+        length = lambda s: np.minimum(s + n, size) - np.maximum(s, 0)
+        # the shortest of the group's windows that can reach the least score
+        shortest = np.maximum(np.minimum(length(first), length(first + STRIDE - 1)), least * n / (2 - least))
+        group, pair = np.nonzero(n - np.bitwise_count(row) >= least * (n + shortest) / 2 - 1e-6)
+        out = np.zeros(len(own))
+        for at in range(0, len(pair), STEP // 12):
+            g, p = group[at : at + STEP // 12] * STRIDE, pair[at : at + STEP // 12]
+            np.maximum.at(out, p, self._single(masks[g + np.arange(n + STRIDE - 1)[:, None], p], n, g - before, size[p]))
+        return out
+
+    def _single(self, masks, n: int, first, size):
+        """The best of the windows at STRIDE places from the first on, for each column of masks of their characters."""
+        import numpy as np
+
+        full = masks.dtype.type((1 << n) - 1)
+        row = np.full((STRIDE, masks.shape[1]), full)
+        hit, less = np.empty_like(row), np.empty_like(row)
+        for t in range(n):
+            np.bitwise_and(row, masks[t : t + STRIDE], hit)
+            np.subtract(row, hit, less)
+            row += hit
+            row |= less
+        start = first + np.arange(STRIDE)[:, None]
+        length = np.minimum(start + n, size) - np.maximum(start, 0)
+        return (200.0 * (n - np.bitwise_count(row & full).astype(np.int64)) / (n + np.maximum(length, 0))).max(axis=0)
+
+    def _windows(self, short: int, long: int, own, other, least):
+        import numpy as np
+
+        n, size = int(self.sizes[short][own[0]]), self.sizes[long][other]
+        low = _shortest(n, float(least.min()))
         top, before = int(size.max()), n - low
         starts = np.arange(-before, top - low + 1)[:, None]
         kind = np.uint32 if n <= 32 else np.uint64
@@ -247,23 +320,47 @@ class _Scorer:
         length = np.minimum(starts + n, size) - np.maximum(starts, 0)
         return (200.0 * common / (n + np.maximum(length, 0))).max(axis=0)
 
-    def _clipped(self, short: int, long: int, own, other, least: float):
+    def _clipped(self, short: int, long: int, own, other, least):
         """The best of the windows at the ends that are shorter than the shorter side."""
         import numpy as np
 
         n, size = int(self.sizes[short][own[0]]), self.sizes[long][other]
-        low = _shortest(n, least)
         kind = np.uint32 if n <= 32 else np.uint64
         best, full = np.zeros(len(own)), kind((1 << n) - 1)
-        for table, place in ((self.tables[short], lambda m: m), (self._reversed(short), lambda m: size - 1 - m)):
+        for turned, place in ((False, lambda m, of: m + 0 * of), (True, lambda m, of: of - 1 - m)):
+            if n < 2:
+                break
+            chars = self.coded[long][other, place(np.arange(n - 1)[:, None], size)]
+            masks = self._table(short, n, turned)[own, chars]
             row = np.full(len(own), full)
             for m in range(n - 1):
-                hit = row & table[own, self.coded[long][other, place(m)]].astype(kind)
+                hit = row & masks[m]
                 row = (row + hit) | (row - hit)
-                if m + 1 >= low:
-                    np.maximum(best, 200.0 * (n - np.bitwise_count(row & full).astype(np.int64)) / (n + m + 1), out=best)
+            common = n - np.bitwise_count(row & full).astype(np.int64)
+            # a window is no shorter than what it has in common
+            some = np.flatnonzero(200.0 * common / (n + common) >= 100 * least - 1e-9)
+            if len(some):
+                low = _shortest(n, float(least[some].min()))
+                masks, row, top = masks[:, some], np.full(len(some), full), np.zeros(len(some))
+                for m in range(n - 1):
+                    hit = row & masks[m]
+                    row = (row + hit) | (row - hit)
+                    if m + 1 >= low:
+                        np.maximum(top, 200.0 * (n - np.bitwise_count(row & full).astype(np.int64)) / (n + m + 1), out=top)
+                best[some] = np.maximum(best[some], top)
         return best
 
+    def _table(self, side: int, n: int, turned: bool = False):
+        """The table of a side, in half the bytes for texts of up to 32 characters."""
+        import numpy as np
+
+        table = self._reversed(side) if turned else self.tables[side]
+        if n > 32:
+            return table
+        if (side, turned) not in self.halves:
+            self.halves[side, turned] = table.astype(np.uint32)
+        return self.halves[side, turned]
+
     def _reversed(self, side: int):
         """The table of the texts of up to 64 characters, read from their ends."""
         import numpy as np
@@ -309,40 +406,57 @@ def best_names(texts: Sequence[str], names: Sequence[str], k: int, gap: float |
 
     order = sorted(range(len(names)), key=lambda j: len(names[j]))
     names = [names[j] for j in order]
-    bounds, scorer = _Bounds(texts, names, SPARE[:1]), _Scorer(texts, names)
-    more: list[tuple] = []
-    guess = bounds.guess()
-    width = max(4, k)
-    while True:
-        limit = least()
-        whole, ends = bounds.open(limit)
-        for some, wider in more:
-            for out_, own in zip((whole, ends), wider.open(limit[some])):
-                out_[:, some] &= own
+    scorer = _Scorer(texts, names)
+    every = np.arange(len(texts))
+    size = max(1, TURN // len(names))
+
+    def turn(some, guess, each, width: int | None) -> None:
+        """Scores the likeliest names, or all, that the bounds leave open for some texts, and strikes them out."""
+        limit = least()[some]
+        whole, ends = (np.ones(guess.shape, bool) for _ in range(2))
+        for bounds in each:
+            for out_, own in zip((whole, ends), bounds.open(limit)):
+                out_ &= own
         guess[~(whole | ends)] = 0
         rank = np.ascontiguousarray(guess.T)
-        if width < len(names):
+        if width is not None and width < len(names):
             ahead = np.argpartition(rank, len(names) - width, axis=1)[:, len(names) - width :]
             i, c = np.nonzero(np.take_along_axis(rank, ahead, 1))
             j = ahead[i, c]
         else:
             i, j = np.nonzero(rank)
-        if not len(i):
-            break
         guess[j, i] = 0
-        got = scorer.scores(i, j, np.maximum(limit[i], 0), whole[j, i])
+        got = scorer.scores(some[i], j, np.maximum(limit[i], 0), whole[j, i])
         good = np.flatnonzero(got >= limit[i] - 1e-9)
         i, j, got = i[good], j[good], got[good]
-        for x, y, v in zip(i.tolist(), j.tolist(), got.tolist()):
+        for x, y, v in zip(some[i].tolist(), j.tolist(), got.tolist()):
             out[x].append((v, order[y]))
-        cuts = np.searchsorted(i, np.arange(len(texts) + 1))
+        cuts = np.searchsorted(i, np.arange(len(some) + 1))
         for x in np.flatnonzero(np.diff(cuts)).tolist():
-            low[x] = np.sort(np.concatenate((low[x], got[cuts[x] : cuts[x + 1]])))[::-1][:k]
-        if width == max(4, k):
-            # the costlier bounds only for texts to which the likeliest names aren't near
-            some = np.flatnonzero(least() < NEAR)
-            more = [(some, _Bounds([texts[x] for x in some.tolist()], names, SPARE[1:]))] if len(some) else []
-        width *= 3
+            low[some[x]] = np.sort(np.concatenate((low[some[x]], got[cuts[x] : cuts[x + 1]])))[::-1][:k]
+
+    if len(names) <= min(FEW, len(texts) // MANY):
+        for at in range(0, len(texts), size):
+            some = every[at : at + size]
+            own = np.ones((len(names), len(some)), np.uint8)
+            for width in (max(4, k), None):
+                turn(some, own, [], width)
+        limit = least()
+        return [[(v, y) for v, y in found if v >= limit[x] - 1e-9] for x, found in enumerate(out)]
+    bounds = _Bounds(texts, names, SPARE[:1])
+    guess = bounds.guess()
+    turn(every, guess, [bounds], max(4, k))
+    # the costlier bounds only for texts to which the likeliest names aren't near
+    near = least() < NEAR
+    far = np.flatnonzero(near)
+    wider = _Bounds([texts[x] for x in far.tolist()], names, SPARE[1:]) if len(far) else None
+    for kind, more in ((np.flatnonzero(~near), None), (far, wider)):
+        for at in range(0, len(kind), size):
+            some = kind[at : at + size]
+            each = [bounds.part(some)] + ([more.part(slice(at, at + size))] if more else [])
+            own = guess[:, some]
+            for width in WIDTHS:
+                turn(some, own, each, width)
     limit = least()
     return [[(v, y) for v, y in found if v >= limit[x] - 1e-9] for x, found in enumerate(out)]
 

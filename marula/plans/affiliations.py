@@ -95,9 +95,14 @@ def _names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prefixes(segment):
-    """The leading runs of comma parts, longest first, in the form of exact look-ups."""
-    parts = F.split(segment, ",")
-    return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: T.exact_name(F.array_join(F.slice(parts, 1, n), ", ")))
+    """The leading runs of comma parts, longest first, in the form of exact look-ups.
+
+    A run's normal form is that of its parts side by side, so each part is brought into it
+    once; the array around them keeps them from being worked out anew for each run.
+    """
+    parts = F.array(F.transform(F.split(segment, ","), T.marked_name))
+    joined = lambda p, n: F.array_join(F.filter(F.slice(p, 1, n), lambda x: x != ""), " ")
+    return F.get(F.transform(parts, lambda p: F.transform(F.sequence(F.size(p), F.lit(1), F.lit(-1)), lambda n: T.exact_of(joined(p, n)))), F.lit(0))
 
 
 def _acronyms(spark: SparkSession, folder: str, d: DataFrame) -> DataFrame:

@@ -160,6 +160,28 @@ def test_nearest_names_are_found_without_scoring_all(monkeypatch):
     assert sum(scored) < 0.4 * len(texts) * len(names)
 
 
+@pytest.mark.parametrize("few, turn", [(0, 900), (200, 900), (0, 10**6)])
+def test_single_windows_are_scored_only_where_those_beside_them_are_near(monkeypatch, few, turn):
+    from marula.operators import partial
+
+    for name, value in (("FEW", few), ("MANY", 1), ("TURN", turn), ("WIDTHS", (5, None))):
+        monkeypatch.setattr(partial, name, value)
+    single = []
+    real = partial._Scorer._single
+    monkeypatch.setattr(partial._Scorer, "_single", lambda self, masks, *rest: single.append(masks.shape[1]) or real(self, masks, *rest))
+    rng = random.Random(9)
+    text = lambda low, high: "".join(rng.choices("abcdeiklmnorstu  é", k=rng.randint(low, high)))
+    names = sorted({text(n, n) for n in [1, 2, 3, 8, 9, 31, 32, 33, 63, 64, 65, 100] for _ in range(5)})
+    texts = [text(0, 40) + rng.choice(names)[rng.randint(0, 4) :] + text(0, 40) for _ in range(70)] + [y[3:20] for y in names] + ["", "a", "zz"] + names[20:30]
+    for k in (2, 4):
+        for x, got in zip(texts, partial.nearest(texts, names, k)):
+            own = [records.partial_ratio(x, y) for y in names]
+            least = sorted(own)[-k]
+            assert sorted(f for f in got if f[0] >= least) == sorted((v, j) for j, v in enumerate(own) if v >= least)
+    places = 2 * sum(len(x) + len(y) for x in texts for y in names)
+    assert 0 < partial.STRIDE * sum(single) < (0.6 if few else 0.25) * places
+
+
 def test_affiliations_meet_all_names_of_their_country(spark, tmp_path, monkeypatch):
     from marula.plans import affiliations
 
@@ -505,6 +527,17 @@ def test_cascade_of_hand_made_affiliations(spark, tmp_path):
     assert up[90] == (4, 3, "6;3", "acronym;acronym", "UG;GH") and 91 not in up and 92 not in up
 
 
+def test_leading_runs_have_the_form_of_their_whole(spark):
+    from marula.functions import text
+    from marula.plans import affiliations
+
+    cells = ["A of the, of the B-c", "x de la de la,de  la,  y", ",", "", " , ,x-", "-a,b - c-d-e", "U\u2060 of, a x", "ΑΣ,ΒΣ van de, van den x"]
+    whole = [(i, ", ".join(c.split(",")[:n])) for i, c in enumerate(cells) for n in range(len(c.split(",")), 0, -1)]
+    want = [r.f for r in spark.createDataFrame(whole, "i int, t string").coalesce(1).select(text.exact_name("t").alias("f")).collect()]
+    got = [f for r in spark.createDataFrame(enumerate(cells), "i int, t string").orderBy("i").select(affiliations.prefixes("t").alias("f")).collect() for f in r.f]
+    assert got == want
+
+
 def test_exact_name_and_title_case(spark):
     from marula.functions import text
 
