@@ -58,7 +58,17 @@ def exact_of(marked: Column) -> Column:
     v = F.concat(F.lit(" "), marked, F.lit(" "))
     for article in ARTICLES:
         v = F.replace(v, F.lit(article), F.lit(" "))
-    return F.trim(F.replace(v, F.lit(_MARK), F.lit(" ")))
+    return F.trim(unmarked(v))
+
+
+def has_article(marked: Column) -> Column:
+    """Whether exact_of has an article to take out."""
+    return F.concat(F.lit(" "), marked, F.lit(" ")).rlike(" (?:" + "|".join(a.strip() for a in ARTICLES) + ") ")
+
+
+def unmarked(marked: Column) -> Column:
+    """Blanks in place of the marks."""
+    return F.replace(marked, F.lit(_MARK), F.lit(" "))
 
 
 def title_case(c: Column) -> Column:

@@ -9,10 +9,8 @@ from collections.abc import Sequence
 
 from marula.operators.records import _coded, _masks, partial_ratio
 
-#: How many characters of a window may match nothing, for the two bounds of a word. Fixed values.
-SPARE = (6, 14)
-#: Up to this score a text needs the second of them. Fixed value.
-NEAR = 87.0
+#: How many characters of a window may match nothing, for the bounds of a word. Fixed values.
+SPARE = (10,)
 #: Names are at most that long, for the bounds at a text's ends. Fixed values.
 SIZES = (24, 40, 64)
 #: Cells of a table of words and places, of one step of scoring, and of texts and names of one turn.
@@ -410,13 +408,10 @@ def best_names(texts: Sequence[str], names: Sequence[str], k: int, gap: float |
     every = np.arange(len(texts))
     size = max(1, TURN // len(names))
 
-    def turn(some, guess, each, width: int | None) -> None:
+    def turn(some, guess, bounds: _Bounds | None, width: int | None) -> None:
         """Scores the likeliest names, or all, that the bounds leave open for some texts, and strikes them out."""
         limit = least()[some]
-        whole, ends = (np.ones(guess.shape, bool) for _ in range(2))
-        for bounds in each:
-            for out_, own in zip((whole, ends), bounds.open(limit)):
-                out_ &= own
+        whole, ends = bounds.open(limit) if bounds else (np.ones(guess.shape, bool),) * 2
         guess[~(whole | ends)] = 0
         rank = np.ascontiguousarray(guess.T)
         if width is not None and width < len(names):
@@ -440,23 +435,17 @@ def best_names(texts: Sequence[str], names: Sequence[str], k: int, gap: float |
             some = every[at : at + size]
             own = np.ones((len(names), len(some)), np.uint8)
             for width in (max(4, k), None):
-                turn(some, own, [], width)
+                turn(some, own, None, width)
         limit = least()
         return [[(v, y) for v, y in found if v >= limit[x] - 1e-9] for x, found in enumerate(out)]
-    bounds = _Bounds(texts, names, SPARE[:1])
+    bounds = _Bounds(texts, names, SPARE)
     guess = bounds.guess()
-    turn(every, guess, [bounds], max(4, k))
-    # the costlier bounds only for texts to which the likeliest names aren't near
-    near = least() < NEAR
-    far = np.flatnonzero(near)
-    wider = _Bounds([texts[x] for x in far.tolist()], names, SPARE[1:]) if len(far) else None
-    for kind, more in ((np.flatnonzero(~near), None), (far, wider)):
-        for at in range(0, len(kind), size):
-            some = kind[at : at + size]
-            each = [bounds.part(some)] + ([more.part(slice(at, at + size))] if more else [])
-            own = guess[:, some]
-            for width in WIDTHS:
-                turn(some, own, each, width)
+    turn(every, guess, bounds, max(4, k))
+    for at in range(0, len(texts), size):
+        some = every[at : at + size]
+        own, part = guess[:, some], bounds.part(some)
+        for width in WIDTHS:
+            turn(some, own, part, width)
     limit = least()
     return [[(v, y) for v, y in found if v >= limit[x] - 1e-9] for x, found in enumerate(out)]
 

@@ -98,11 +98,18 @@ def prefixes(segment):
     """The leading runs of comma parts, longest first, in the form of exact look-ups.
 
     A run's normal form is that of its parts side by side, so each part is brought into it
-    once; the array around them keeps them from being worked out anew for each run.
+    once; the array around them keeps them from being worked out anew for each run. An
+    article in a run is one in the whole, so most segments are looked through once.
     """
     parts = F.array(F.transform(F.split(segment, ","), T.marked_name))
     joined = lambda p, n: F.array_join(F.filter(F.slice(p, 1, n), lambda x: x != ""), " ")
-    return F.get(F.transform(parts, lambda p: F.transform(F.sequence(F.size(p), F.lit(1), F.lit(-1)), lambda n: T.exact_of(joined(p, n)))), F.lit(0))
+    runs = lambda p, form: F.transform(F.sequence(F.size(p), F.lit(1), F.lit(-1)), lambda n: form(joined(p, n)))
+    return F.get(F.transform(parts, lambda p: F.when(T.has_article(joined(p, F.size(p))), runs(p, T.exact_of)).otherwise(runs(p, T.unmarked))), F.lit(0))
+
+
+def _within(forms: DataFrame, names: DataFrame) -> DataFrame:
+    """Without the forms that are longer than any name."""
+    return forms.join(F.broadcast(names.agg(F.max(F.length("form")).alias("longest"))), F.length("form") <= F.col("longest")).drop("longest")
 
 
 def _acronyms(spark: SparkSession, folder: str, d: DataFrame) -> DataFrame:
@@ -130,10 +137,10 @@ def cascade(spark: SparkSession, folder: str) -> DataFrame:
     whole = d.select("segment", T.normal_name(F.col("segment")).alias("form")).join(_known(spark, folder), "form")
     whole = whole.select("segment", F.when(F.col("ror_id").isNull(), 0).otherwise(1).alias("step"), F.lit(0).cast("bigint").alias("k"), "override_id")
     names = _names(spark, folder)
-    walk = hit(d.select("segment", F.posexplode(prefixes(F.col("segment"))).alias("k", "form")).join(names, "form"), 2)
+    walk = hit(_within(d.select("segment", F.posexplode(prefixes(F.col("segment"))).alias("k", "form")), names).join(names, "form"), 2)
     rest = F.trim(F.regexp_extract("segment", r"^[^,]+,(.*)$", 1))
     cut = d.where(F.lower("segment").rlike(_UNIT) & F.col("segment").contains(",")).select("segment", rest.alias("rest")).where("length(rest) > 10")
-    cut = hit(cut.select("segment", F.posexplode(prefixes(F.col("rest"))).alias("k", "form")).join(names, "form"), 3)
+    cut = hit(_within(cut.select("segment", F.posexplode(prefixes(F.col("rest"))).alias("k", "form")), names).join(names, "form"), 3)
     every = whole.unionByName(walk).unionByName(cut).unionByName(hit(_acronyms(spark, folder, d), 4))
     best = every.groupBy("segment").agg(F.min(F.struct("step", "k", "override_id")).alias("m"))
     step = F.col("m.step")
